@@ -1,0 +1,4 @@
+"""No streaming operators: every analysis here takes whole collections.
+
+The operators are plain DataFrame transformations, so ``foreachBatch`` can call
+them on a micro-batch when a caller wants to."""
