@@ -17,6 +17,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, also inside nested lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def safe_div(num, den, default=0.0) -> Column:
     """num / den, or ``default`` where den is 0 (ANSI mode raises otherwise)."""
     n, d = col(num).cast("double"), col(den).cast("double")
@@ -70,10 +75,11 @@ def argument_sentences(text) -> Column:
 
 def ngrams(tokens, n: int) -> Column:
     """Array of space-joined runs of n tokens."""
-    size = F.size(tokens)
-    starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " "))
+    def runs(t):
+        starts = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(
+            F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(t, i, n), " "))
+    return let(tokens, runs)
 
 
 def entropy_term(count) -> Column:

@@ -15,6 +15,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, spread by id when the files give fewer splits than there are
+    cores (a few small files); a table of many splits is read as it lies."""
+    df = table(spark, folder, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, "doc_id") if df.rdd.getNumPartitions() < cores else df
+
+
 # A small codebook over the document words: (theme_id, label, concepts, level, parent)
 CODEBOOK = [
     ("T0", "the framework", ["tion"], "descriptive", None),
@@ -39,7 +47,7 @@ def codebook(spark: SparkSession) -> DataFrame:
 def documents_evidence(spark: SparkSession, folder: str) -> Evidence:
     """Documents as studies (one finding per line), conversation turns as quotes,
     the codebook as themes assigned by document source."""
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     labels = table(spark, folder, "labels").select("doc_id", "quality")
     studies = docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").alias("study_id"), F.col("doc_id").alias("ord"),
@@ -72,7 +80,7 @@ def document_quotes(spark: SparkSession, folder: str) -> DataFrame:
 
 def document_parts(spark: SparkSession, folder: str) -> DataFrame:
     """study_id, part, text over document lines, then conversation turns."""
-    lines = table(spark, folder, "documents").select(
+    lines = documents(spark, folder).select(
         F.col("doc_id").alias("study_id"), F.posexplode(F.split("text", "\n")).alias("part", "text"))
     turns = document_quotes(spark, folder).select(
         "study_id", (F.col("pos") + 1000000).cast("int").alias("part"), "text")
@@ -80,7 +88,7 @@ def document_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         F.col("doc_id").alias("study_id"), F.translate("text", "\n", " ").alias("text"))
 
 
