@@ -1,4 +1,4 @@
 """Registered queries over the star-schema tables, each with its SQL oracle."""
 
-from . import incidence, structure, text  # noqa: F401
+from . import incidence, language, structure, text  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
