@@ -31,20 +31,25 @@ def code_classes(spark, folder):
     return grounded.code_classes(tables.document_texts(spark, folder))
 
 
-def _members(spark, folder):
+def _members(spark, folder, min_studies):
     texts = tables.document_texts(spark, folder)
-    return cut(grounded.class_studies(texts, cut(grounded.code_classes(texts))))
+    return cut(grounded.class_studies(texts, cut(grounded.code_classes(texts, min_studies))))
 
 
-@query("code_cooccurrence", f"""WITH {_CODES}, m AS (SELECT label, study_id FROM cc JOIN ng ON ng.code = cc.label WHERE cc.code = cc.label)
-SELECT x.label AS a, y.label AS b, count(*) AS shared FROM m x JOIN m y ON x.study_id = y.study_id AND x.label < y.label GROUP BY 1, 2""")
+# the pairs themselves are millions of rows, so the query reports them per code class
+@query("code_cooccurrence", f"""WITH {_CODES}, m AS (SELECT label, study_id FROM cc JOIN ng ON ng.code = cc.label WHERE cc.code = cc.label),
+p AS (SELECT x.label AS a, y.label AS b, count(*) AS shared FROM m x JOIN m y ON x.study_id = y.study_id AND x.label <> y.label GROUP BY 1, 2)
+SELECT a AS label, count(*) AS partners, sum(shared)::BIGINT AS shared, max(shared) AS most FROM p GROUP BY 1""")
 def code_cooccurrence(spark, folder):
-    return grounded.code_cooccurrence(_members(spark, folder))
+    pairs = grounded.code_cooccurrence(_members(spark, folder, 2))
+    return pairs.select(F.explode(F.array("a", "b")).alias("label"), "shared").groupBy("label").agg(
+        F.count("*").alias("partners"), F.sum("shared").alias("shared"), F.max("shared").alias("most"))
 
 
 @query("axial_categories")
 def axial_categories(spark, folder):
-    return grounded.axial_categories(_members(spark, folder))
+    """Categories over the codes of at least eight studies (rounds of merges: no SQL)."""
+    return grounded.axial_categories(_members(spark, folder, 8))
 
 
 def _held(spark, folder):

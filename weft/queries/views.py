@@ -48,7 +48,8 @@ st AS (SELECT documents.doc_id AS study_id, documents.doc_id AS ord, 2000 + docu
 th(theme_id, ord, label, concepts, level, parent_id) AS (VALUES {_ROWS}),
 src AS (SELECT doc_id, CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS k FROM documents),
 ts AS (SELECT 'T' || (k % {_N}) AS theme_id, doc_id AS study_id FROM src
-       UNION ALL SELECT 'T' || ((k + 1) % {_N}), doc_id FROM src WHERE k % 4 = 0),
+       UNION ALL SELECT 'T' || ((k + 1) % {_N}), doc_id FROM src WHERE k % 4 = 0
+       UNION ALL SELECT 'T' || ((k + 3) % {_N}), doc_id FROM src WHERE k % 5 = 0),
 quotes AS (SELECT conv_id AS study_id, conv_id || '-' || turn AS quote_id, turn, text FROM conversations),
 tq AS (SELECT DISTINCT 'T' || ((conv_id + turn) % {_N - 2}) AS theme_id, conv_id || '-' || turn AS quote_id
        FROM conversations WHERE role <> 'system'),

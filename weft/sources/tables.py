@@ -58,10 +58,10 @@ def documents_evidence(spark: SparkSession, folder: str) -> Evidence:
     themes = codebook(spark)
     source = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
     n = len(CODEBOOK)
-    # source k belongs to theme k mod n; every fourth source also to the next theme
-    links = docs.select(F.col("doc_id").alias("study_id"), F.explode(
-        F.when(source % 4 == 0, F.array(source % n, (source + 1) % n))
-        .otherwise(F.array(source % n))).alias("i"))
+    # source k belongs to theme k mod n, every fourth also to the next, every fifth to k + 3
+    links = docs.select(F.col("doc_id").alias("study_id"), F.explode(F.filter(F.array(
+        source % n, F.when(source % 4 == 0, (source + 1) % n), F.when(source % 5 == 0, (source + 3) % n)),
+        lambda i: i.isNotNull())).alias("i"))
     theme_studies = links.select(F.concat(F.lit("T"), F.col("i").cast("string")).alias("theme_id"),
                                  "study_id", F.col("study_id").alias("pos"))
     theme_quotes = table(spark, folder, "conversations").filter(F.col("role") != "system").select(
