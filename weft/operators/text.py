@@ -186,7 +186,7 @@ def cooccurrence(texts: DataFrame, window: int = 5, min_df: int = 2) -> DataFram
              .agg(F.count("*").alias("n")))
     vocab = vocabulary(texts, min_df).select("term")
     return (pairs.join(vocab.withColumnRenamed("term", "w1"), "w1", "left_semi")
-            .join(vocab.withColumnRenamed("term", "w2"), "w2", "left_semi"))
+            .join(vocab.withColumnRenamed("term", "w2"), "w2", "left_semi").select("w1", "w2", "n"))
 
 
 def word_counts(texts: DataFrame, min_df: int = 2) -> DataFrame:
