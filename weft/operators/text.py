@@ -85,77 +85,89 @@ def unit_vectors(texts: DataFrame, reps: DataFrame) -> DataFrame:
         "study_id", "term", "df", (F.col("weight") / F.col("norm")).alias("w"))
 
 
-def rare_prefixes(vectors: DataFrame, threshold: float, slack: float) -> DataFrame:
-    """study_id, term, w, rest: per study the rarest terms up to where the norm of the
-    remaining ones is under slack * threshold. Two studies above the threshold must
-    meet in a prefix term, since what they share elsewhere is at most ``rest``."""
+def prefix_split(vectors: DataFrame, threshold: float, slack: float) -> DataFrame:
+    """The vectors with ``place`` (rank from the rarest term), ``kept`` and ``rest``: per
+    study the rarest terms are kept up to where the norm of the others, ``rest``, is under
+    slack * threshold. Two studies above the threshold must meet in a kept term of both:
+    what they share elsewhere is at most the larger ``rest``."""
     order = Window.partitionBy("study_id").orderBy("df", "term")
-    tail = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = vectors.withColumn("tail", F.sqrt(F.sum(F.col("w") * F.col("w")).over(tail)))
+    tail = F.sqrt(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
     limit = slack * threshold - MARGIN
+    rows = vectors.withColumn("tail", tail).withColumn("place", F.row_number().over(order))
     rest = F.max(F.when(F.col("tail") < limit, F.col("tail"))).over(Window.partitionBy("study_id"))
-    return rows.withColumn("rest", F.coalesce(rest, F.lit(0.0))).filter(F.col("tail") >= limit).select(
-        "study_id", "term", "w", "rest")
-
-
-def _maps(vectors: DataFrame) -> DataFrame:
-    """One MAP<term, w> per study (as long as the study's vocabulary)."""
-    return vectors.groupBy("study_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
+    return rows.select("study_id", "term", "df", "w", "place", (F.col("tail") >= limit).alias("kept"),
+                       F.coalesce(rest, F.lit(0.0)).alias("rest"))
 
 
 def exact_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """a, b, similarity of the given pairs of studies."""
-    maps = _maps(vectors)
-    both = (pairs.select("a", "b")
-            .join(maps.select(F.col("study_id").alias("a"), F.col("v").alias("va")), "a")
-            .join(maps.select(F.col("study_id").alias("b"), F.col("v").alias("vb")), "b"))
+    """a, b, similarity of the given pairs of studies, from whole vectors (one map per
+    study, as long as its vocabulary)."""
+    maps = vectors.groupBy("study_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v"))
+    both = pairs.select("a", "b").join(maps.toDF("a", "va"), "a").join(maps.toDF("b", "vb"), "b")
     products = F.map_values(F.map_zip_with("va", "vb", lambda k, x, y: F.coalesce(x * y, F.lit(0.0))))
     return both.select("a", "b", F.aggregate(products, F.lit(0.0), lambda s, x: s + x).alias("similarity"))
 
 
-def similar_pairs(texts: DataFrame, threshold: float = 0.3, slack: float = 0.25) -> DataFrame:
-    """a < b, similarity: every pair of distinct token bags above the threshold.
-
-    Copies are folded first (``copies`` maps them back), so a bag held by a third of
-    all studies is one row here. Exact: prefixes only drop pairs that cannot reach
-    the threshold, and each candidate is then measured on its whole vectors."""
-    vectors = cut(unit_vectors(texts, copies(texts)))
-    prefixes = cut(rare_prefixes(vectors, threshold, slack))
-    met = paired_within(prefixes, "term", "study_id", ["w", "rest"])
+def _finish(met: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """a, b, similarity above the threshold, from the products over kept terms (a, b, w_a,
+    w_b, rest_a, rest_b). Pairs that cannot reach it are dropped by the bound; for the
+    others the few terms outside the kept ones are added exactly."""
     found = met.groupBy("a", "b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("p"),
                                       F.max(F.greatest("rest_a", "rest_b")).alias("rest"))
-    candidates = found.filter(F.col("p") + F.col("rest") > threshold - MARGIN)
-    return exact_similarity(candidates, vectors).filter(F.col("similarity") > threshold)
+    close = cut(found.filter(F.col("p") + F.col("rest") > threshold - MARGIN).select("a", "b", "p"))
+    outside = rows.filter(~F.col("kept")).select("study_id", "term", "w")
+    left = (close.select("a", "b").join(outside.toDF("a", "term", "x"), "a")
+            .join(rows.select(F.col("study_id").alias("b"), "term", F.col("w").alias("y")), ["b", "term"]))
+    right = (close.select("a", "b").join(outside.toDF("b", "term", "y"), "b")
+             .join(rows.filter("kept").select(F.col("study_id").alias("a"), "term", F.col("w").alias("x")), ["a", "term"]))
+    extra = left.select("a", "b", "x", "y").unionByName(right.select("a", "b", "x", "y")).groupBy("a", "b").agg(
+        F.sum(F.col("x") * F.col("y")).alias("e"))
+    total = F.col("p") + F.coalesce("e", F.lit(0.0))
+    return close.join(extra, ["a", "b"], "left").select("a", "b", total.alias("similarity")).filter(F.col("similarity") > threshold)
+
+
+def similar_pairs(texts: DataFrame, threshold: float = 0.3, slack: float = 0.5) -> DataFrame:
+    """a < b, similarity: every pair of distinct token bags above the threshold.
+
+    Copies are folded first (``copies`` maps them back), so a bag held by a third of all
+    studies is one row here. Exact for any ``slack``; it only moves work between meeting
+    in more terms and finishing more candidates."""
+    rows = cut(prefix_split(unit_vectors(texts, copies(texts)), threshold, slack))
+    met = paired_within(rows.filter("kept").select("study_id", "term", "w", "rest"), "term", "study_id", ["w", "rest"])
+    return _finish(met, rows, threshold)
 
 
-def study_clusters(texts: DataFrame, threshold: float = 0.3, slack: float = 1.0) -> DataFrame:
-    """study_id, cluster: single linkage over similarity above the threshold; the
-    cluster is its smallest study id.
+def study_clusters(texts: DataFrame, threshold: float = 0.3, slack: float = 0.5, spokes: int = 8) -> DataFrame:
+    """study_id, cluster: single linkage over similarity above the threshold; the cluster
+    is its smallest study id.
 
     Near copies may be a third of all studies, so their pairs are never listed. First
-    every study is compared only with the first study of each of its prefix terms,
-    and linked groups collapse to components; then only studies of different
-    components that share a prefix term are compared."""
+    every study is compared with the first study of each of its ``spokes`` rarest shared
+    terms, and linked groups collapse to components. Then only studies of different
+    components that share a kept term are compared, which makes the result exact."""
     copy_of = cut(copies(texts))
-    vectors = cut(unit_vectors(texts, copy_of))
-    prefixes = cut(rare_prefixes(vectors, threshold, slack).select("study_id", "term"))
+    rows = cut(prefix_split(unit_vectors(texts, copy_of), threshold, slack))
     nodes = copy_of.select(F.col("rep").alias("study_id")).distinct()
+    kept = rows.filter("kept")
 
-    first = prefixes.groupBy("term").agg(F.min("study_id").alias("a"))
-    spokes = prefixes.join(first, "term").select("a", F.col("study_id").alias("b")).filter("a < b").distinct()
-    links = exact_similarity(spokes, vectors).filter(F.col("similarity") > threshold)
-    near = connected_components(nodes, links.select("a", "b"), "study_id")
+    near_terms = top_k(kept.filter("df > 1").select("study_id", "term", "place"), ["study_id"], [F.asc("place")], spokes)
+    first = near_terms.groupBy("term").agg(F.min("study_id").alias("a"))
+    pairs = near_terms.join(first, "term").select("a", F.col("study_id").alias("b")).filter("a < b").distinct()
+    links = exact_similarity(pairs, rows).filter(F.col("similarity") > threshold)
+    near = cut(connected_components(nodes, links.select("a", "b"), "study_id"))
 
-    members = cut(prefixes.join(near, "study_id"))
+    members = cut(kept.select("study_id", "term", "w", "rest").join(near, "study_id"))
     groups = members.select("term", "component").distinct()
-    met = paired_within(groups, "term", "component")
-    across = (met.join(members.select("term", F.col("component").alias("a"), F.col("study_id").alias("x")), ["term", "a"])
-              .join(members.select("term", F.col("component").alias("b"), F.col("study_id").alias("y")), ["term", "b"])
-              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    bridges = exact_similarity(across, vectors).filter(F.col("similarity") > threshold)
-    ends = (bridges.join(near.select(F.col("study_id").alias("a"), F.col("component").alias("ca")), "a")
-            .join(near.select(F.col("study_id").alias("b"), F.col("component").alias("cb")), "b")
+    met = paired_within(groups, "term", "component").withColumnsRenamed({"a": "ca", "b": "cb"})
+    sides = [members.select("term", F.col("component").alias(f"c{x}"), F.col("study_id").alias(x), F.col("w").alias(f"w_{x}"),
+                            F.col("rest").alias(f"rest_{x}")) for x in ("a", "b")]
+    across = met.join(sides[0], ["term", "ca"]).join(sides[1], ["term", "cb"])
+    up = F.col("a") < F.col("b")
+    ordered = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+                            F.when(up, F.col("w_a")).otherwise(F.col("w_b")).alias("w_a"),
+                            F.when(up, F.col("w_b")).otherwise(F.col("w_a")).alias("w_b"), "rest_a", "rest_b")
+    bridges = _finish(ordered, rows, threshold)
+    ends = (bridges.select("a", "b").join(near.toDF("a", "ca"), "a").join(near.toDF("b", "cb"), "b")
             .select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     merged = connected_components(near.select("component").distinct(), ends, "component").toDF("component", "root")
     return (copy_of.join(near.withColumnRenamed("study_id", "rep"), "rep").join(merged, "component")
