@@ -48,8 +48,8 @@ def code_cooccurrence(spark, folder):
 
 @query("axial_categories")
 def axial_categories(spark, folder):
-    """Categories over the codes of at least eight studies (rounds of merges: no SQL)."""
-    return grounded.axial_categories(_members(spark, folder, 8))
+    """Categories over the codes of at least twenty studies (rounds of merges: no SQL)."""
+    return grounded.axial_categories(_members(spark, folder, 20))
 
 
 def _held(spark, folder):
