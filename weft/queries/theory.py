@@ -31,9 +31,9 @@ def code_classes(spark, folder):
     return grounded.code_classes(tables.document_texts(spark, folder))
 
 
-def _members(spark, folder, min_studies):
+def _members(spark, folder):
     texts = tables.document_texts(spark, folder)
-    return cut(grounded.class_studies(texts, cut(grounded.code_classes(texts, min_studies))))
+    return cut(grounded.class_studies(texts, cut(grounded.code_classes(texts))))
 
 
 # the pairs themselves are millions of rows, so the query reports them per code class
@@ -41,15 +41,17 @@ def _members(spark, folder, min_studies):
 p AS (SELECT x.label AS a, y.label AS b, count(*) AS shared FROM m x JOIN m y ON x.study_id = y.study_id AND x.label <> y.label GROUP BY 1, 2)
 SELECT a AS label, count(*) AS partners, sum(shared)::BIGINT AS shared, max(shared) AS most FROM p GROUP BY 1""")
 def code_cooccurrence(spark, folder):
-    pairs = grounded.code_cooccurrence(_members(spark, folder, 2))
+    pairs = grounded.code_cooccurrence(_members(spark, folder))
     return pairs.select(F.explode(F.array("a", "b")).alias("label"), "shared").groupBy("label").agg(
         F.count("*").alias("partners"), F.sum("shared").alias("shared"), F.max("shared").alias("most"))
 
 
 @query("axial_categories")
 def axial_categories(spark, folder):
-    """Categories over the codes of at least twenty studies (rounds of merges: no SQL)."""
-    return grounded.axial_categories(_members(spark, folder, 20))
+    """Categories of the event buckets by their users (rounds of merges: no SQL)."""
+    links = incidence(tables.events_evidence(spark, folder).theme_studies).withColumnRenamed("theme_id", "label")
+    sizes = links.groupBy("label").agg(F.count("*").alias("frequency"))
+    return grounded.axial_categories(cut(links.join(sizes, "label").select("label", "frequency", "study_id")))
 
 
 def _held(spark, folder):
