@@ -33,6 +33,13 @@ def r6(c) -> Column:
     return F.round(col(c), 6) + F.lit(0.0)
 
 
+def round_binary(c, digits: int) -> Column:
+    """A non-negative double to ``digits`` decimals by its binary value; ``round`` goes by
+    the printed decimals, which turns a value just under a tie upwards."""
+    scale = float(10 ** digits)
+    return F.floor(col(c) * scale + 0.5) / scale
+
+
 def clamp(c, lo=0.0, hi=1.0) -> Column:
     return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
 

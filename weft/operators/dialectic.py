@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import let, safe_div, tokenise
+from ..functions.columns import let, round_binary, safe_div, tokenise
 from ..functions.lexicons import DIALECTIC_NEGATIVE, DIALECTIC_POSITIVE
 from ..plans.lineage import cut
 from ..plans.pairs import incidence, overlaps, sizes, theme_pairs, theme_sets
@@ -32,7 +32,7 @@ def antithetical_pairs(ev: Evidence, polarity: DataFrame) -> DataFrame:
     up = F.col("pa") > 0
     return rows.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("thesis"),
                        F.when(up, F.col("b")).otherwise(F.col("a")).alias("antithesis"),
-                       F.round(F.abs(F.col("pa") - F.col("pb")) / 2, 4).alias("strength"))
+                       round_binary(F.abs(F.col("pa") - F.col("pb")) / 2, 4).alias("strength"))
 
 
 def syntheses(ev: Evidence, pairs: DataFrame) -> DataFrame:
