@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding, sql
+from . import chunk_dedup, forest, line_rules, mixing, secret_scan, sharding, simhash, sql
 from .common import table
 
 QUERIES: dict = {}
@@ -34,3 +34,42 @@ def mixing_rates(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of each document the mix takes."""
     return mixing.rates(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op5_line_rules", sql.LINE_RULES)
+def line_rules_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and the verdict of the quality rules for every document."""
+    return line_rules.judged(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "n_removed_words", "kept")
+
+
+@query("op1_secret_scan", sql.SECRETS)
+def secrets_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's secrets."""
+    def number(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    kinds = [k[0] for k in (*secret_scan.BASE, *secret_scan.CLASSES)]
+    return secret_scan.scanned(table(spark, folder, "documents")).select(
+        "doc_id", number("assign"), number("access"), number("hex"),
+        F.sha2(secret_scan.listed(F.col("base"), kinds), 256).alias("base_sha256"),
+        secret_scan.listed(F.concat("base", "extra"), kinds).alias("spans"))
+
+
+@query("op9_simhash")
+def simhash_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op3_projection_forest")
+def vector_components(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and component of every vector."""
+    return forest.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query("op10_chunk_dedup", sql.CHUNKS)
+def chunks_removed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the chunks of lines that an earlier one has."""
+    return chunk_dedup.deduplicated(table(spark, folder, "documents"))

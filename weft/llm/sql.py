@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import secret_scan
+
 #: CRC-32 of a string: one step per byte, with the table made from its rule.
 _STEP = "CASE WHEN {0} & 1 = 1 THEN xor(3988292384, {0} >> 1) ELSE {0} >> 1 END"
 
@@ -42,3 +44,81 @@ goal AS (SELECT source, source_size, least(w * unit, cap) AS target,
 SELECT doc_id, size, source_size, target,
     (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM base JOIN goal ON base.source IS NOT DISTINCT FROM goal.source"""
+
+#: Words, 3-word windows and lines of whole texts; a line's documents are counted by text.
+LINE_RULES = r"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text FROM documents),
+split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, string_split(text, chr(10)) AS ls FROM docs),
+windows AS (SELECT r, unnest(list_transform(range(1, len(w) - 1), lambda i: [w[i], w[i + 1], w[i + 2]])) AS g,
+    unnest(range(1, len(w) - 1)) AS i FROM split),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(3) s(k) GROUP BY r),
+lines AS (SELECT r, host, text, unnest(list_filter(ls, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS line FROM split),
+dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
+norms AS (SELECT r, host, text, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM lines),
+hosts AS (SELECT host, count(DISTINCT text) AS n_texts FROM docs GROUP BY host),
+often AS (SELECT host, line FROM norms JOIN hosts USING (host) GROUP BY host, line
+    HAVING count(DISTINCT text) > 30 AND count(DISTINCT text) > any_value(n_texts) * 0.02::DOUBLE),
+removed AS (SELECT r, sum(len(string_split(line, ' ')))::BIGINT AS n FROM norms JOIN often USING (host, line) GROUP BY r),
+counted AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines,
+    coalesce(covered.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS n_removed_words
+  FROM split LEFT JOIN covered USING (r) LEFT JOIN dups USING (r) LEFT JOIN removed USING (r)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
+SELECT *, NOT base_failed AND n_words - n_removed_words >= n_words * 0.5::DOUBLE AS kept FROM failed"""
+
+_KINDS = [k[0] for k in (*secret_scan.BASE, *secret_scan.CLASSES)]
+
+
+def _quote(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _base(kind: str, pattern: str, group: int, least: int) -> str:
+    size = f"length(regexp_extract(m, {_quote(pattern)}, {group}))" if group else "length(m)"
+    return f"""SELECT r, {_quote(kind)} AS kind, before + sum(len(g)) OVER w AS start, before + sum(len(g)) OVER w + length(m) AS stop,
+      m, {size} >= {least} AS ok FROM (SELECT r, m, g, k, coalesce(sum(length(m)) OVER (PARTITION BY r ORDER BY k
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (
+      SELECT r, unnest(regexp_extract_all(text, {_quote(pattern)})) AS m, unnest(list_resize(regexp_split_to_array(text, {_quote(pattern)}),
+        len(regexp_extract_all(text, {_quote(pattern)})))) AS g, unnest(range(len(regexp_extract_all(text, {_quote(pattern)})))) AS k FROM docs))
+      WINDOW w AS (PARTITION BY r ORDER BY k)"""
+
+
+def _class(kind: str, alphabet: str, width: int, bits: float) -> str:
+    pattern = "[" + alphabet.replace("-", "") + ("-" if "-" in alphabet else "") + "]{%d,}" % width
+    sums = f"list_sum(list_transform(list_distinct(c), lambda x: {secret_scan.terms(width)}[len(list_filter(c, lambda y: y = x)) + 1]))"
+    allowed = " OR ".join(f"regexp_full_match(m, {_quote(a)})" for a in secret_scan.ALLOWED)
+    return f"""SELECT r, {_quote(kind)} AS kind, min(p) AS start, max(p) + {width} AS stop FROM (
+      SELECT *, sum(CASE WHEN p > before + {width} THEN 1 ELSE 0 END) OVER (PARTITION BY r, start ORDER BY p) AS part FROM (
+        SELECT *, lag(p, 1, p) OVER (PARTITION BY r, start ORDER BY p) AS before FROM (
+          SELECT r, start, start + o AS p, string_split(m[o + 1:o + {width}], '') AS c FROM (
+            SELECT r, start, m, unnest(range(length(m) - {width} + 1)) AS o FROM ({_base(kind, pattern, 0, width)}) WHERE NOT ({allowed})))
+        WHERE {sums} <= {secret_scan.most_sum(width, bits)})) GROUP BY r, start, part"""
+
+
+SECRETS = f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+base AS MATERIALIZED (SELECT r, kind, start, stop FROM ({' UNION ALL '.join(_base(*b) for b in secret_scan.BASE)}) WHERE ok),
+extra AS MATERIALIZED ({' UNION ALL '.join(_class(*c) for c in secret_scan.CLASSES)}),
+spans AS (SELECT *, true AS b FROM base UNION ALL SELECT *, false FROM extra e WHERE NOT EXISTS (
+    SELECT 1 FROM base WHERE base.r = e.r AND base.start <= e.start AND e.stop <= base.stop)),
+said AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+    count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, list_position({_KINDS}, kind)) FILTER (b) AS base,
+    string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, list_position({_KINDS}, kind)) AS spans FROM spans GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+    sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN said USING (r)"""
+
+CHUNKS = r"""WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i, len(ls) AS n FROM docs),
+hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines),
+rolled AS (SELECT *, (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS ends FROM hashed),
+numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM rolled),
+chunks AS (SELECT doc_id, pos, min(i) AS start, max(i) + 1 AS stop, string_agg(line, chr(10) ORDER BY i) AS bytes
+    FROM numbered GROUP BY doc_id, pos HAVING count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) > 1),
+gone AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY bytes ORDER BY doc_id, pos) > 1),
+per AS (SELECT doc_id, sum(stop - start) AS n, string_agg(start || ':' || stop, ',' ORDER BY start) AS removed FROM gone GROUP BY doc_id),
+stay AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM numbered
+    ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(per.n, 0)::BIGINT AS n_removed_lines, coalesce(removed, '') AS removed,
+    CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(stay.text, '') END AS text
+FROM docs d LEFT JOIN per USING (doc_id) LEFT JOIN stay USING (doc_id)"""
