@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, forest, line_rules, mixing, secret_scan, sharding, simhash, sql
+from . import chunk_dedup, forest, language, line_crf, line_rules, mixing, packing, secret_scan, sharding, simhash, sql
 from .common import table
 
 QUERIES: dict = {}
@@ -73,3 +73,28 @@ def vector_components(spark: SparkSession, folder: str) -> DataFrame:
 def chunks_removed(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the chunks of lines that an earlier one has."""
     return chunk_dedup.deduplicated(table(spark, folder, "documents"))
+
+
+@query("op2_best_fit_packing")
+def packed_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """Where each piece of each document goes."""
+    return packing.packed(table(spark, folder, "documents"))
+
+
+@query("op8_language_spans")
+def languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document; the fold with remainder 0 is not learned from."""
+    docs = table(spark, folder, "documents")
+    model = language.learned(docs.filter(~language.held_out(F.col("doc_id"))))
+    return language.labelled(docs, model).select(
+        "doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+@query("op4_line_crf")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; the fold with remainder 0 is not learned from."""
+    docs = table(spark, folder, "documents")
+    out = language.held_out(F.col("doc_id"))
+    field = line_crf.learned(docs.filter(~out), table(spark, folder, "labels").filter(~out))
+    return line_crf.scored(docs, field).select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
