@@ -31,7 +31,7 @@ def _met(left: dict, right: dict | None, near: Callable) -> tuple[np.ndarray, np
         if right is None:
             later = np.arange(start, n)[None, :] > np.arange(lo, lo + len(part["node"]))[:, None]
             adjacent, counted = adjacent & later, counted & later
-        links[lo:lo + STEP] += counted @ other["weight"]
+        links[lo:lo + len(part["node"])] += counted @ other["weight"]
         links[first + start:] += part["weight"] @ counted
         for r in np.flatnonzero(adjacent.any(axis=1)):
             ends = np.unique(label[np.append(first + start + np.flatnonzero(adjacent[r]), lo + r)])
@@ -40,13 +40,8 @@ def _met(left: dict, right: dict | None, near: Callable) -> tuple[np.ndarray, np
     return node, links, label
 
 
-def linked(rows: DataFrame, prepare: Callable, near: Callable, block: int = BLOCK, group: int = 8192) -> DataFrame:
-    """node, links, root for the members of buckets with two or more.
-
-    rows: key (bucket), node and what ``prepare`` needs, distinct on (key, node).
-    prepare(frame) makes a dict of arrays with ``node`` and ``weight`` among them, one item
-    per member; near(a, b) takes two of them (or slices) and returns two boolean matrices:
-    which pairs link, and which of them count."""
+def _dealt(rows: DataFrame, compare: Callable, schema: str, block: int, group: int) -> DataFrame:
+    """compare(frame, across) per group of buckets; across: two blocks of one bucket, by _side."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     groups = max(64, total // group)
@@ -58,13 +53,29 @@ def linked(rows: DataFrame, prepare: Callable, near: Callable, block: int = BLOC
         "_g": F.when(F.col("_m") == 1, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.col("key")),
         "_i": F.least("_c", "_o"), "_j": F.greatest("_c", "_o"), "_side": (F.col("_c") > F.col("_o")).cast("int")}).drop("_n", "_c", "_o")
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["key", "_side", "node"], kind="stable")
-        keys, sides = frame["key"].to_numpy(), frame["_side"].to_numpy()
-        cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        across = frame["_i"].iloc[0] != frame["_j"].iloc[0]
+        return compare(frame, frame["_i"].iloc[0] != frame["_j"].iloc[0])
+    return met.groupBy("_g", "_m", "_i", "_j").applyInPandas(run, schema)
+
+
+def _segments(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    keys = frame["key"].to_numpy()
+    cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return cuts, np.append(cuts[1:], len(frame))
+
+
+def linked(rows: DataFrame, prepare: Callable, near: Callable, block: int = BLOCK, group: int = 8192) -> DataFrame:
+    """node, links, root for the members of buckets with two or more.
+
+    rows: key (bucket), node and what ``prepare`` needs, distinct on (key, node).
+    prepare(frame) makes a dict of arrays with ``node`` and ``weight`` among them, one item
+    per member; near(a, b) takes two of them (or slices) and returns two boolean matrices:
+    which pairs link, and which of them count."""
+    def compare(frame: pd.DataFrame, across: bool) -> pd.DataFrame:
+        sides = frame["_side"].to_numpy()
         ready, out = prepare(frame), []
-        for lo, hi in zip(cuts, np.append(cuts[1:], len(frame))):
+        for lo, hi in zip(*_segments(frame)):
             turn = lo + int((sides[lo:hi] == 0).sum()) if across else hi
             node, links, label = _met({k: v[lo:turn] for k, v in ready.items()},
                                       {k: v[turn:hi] for k, v in ready.items()} if across else None, near)
@@ -73,4 +84,45 @@ def linked(rows: DataFrame, prepare: Callable, near: Callable, block: int = BLOC
             out.append((node, links, named[label]))
         node, links, root = (np.concatenate(x) for x in zip(*out))
         return pd.DataFrame({"node": node, "links": links, "root": root})
-    return met.groupBy("_g", "_m", "_i", "_j").applyInPandas(compare, "node bigint, links bigint, root bigint")
+    return _dealt(rows, compare, "node bigint, links bigint, root bigint", block, group)
+
+
+def _best_forest(weight: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Edges of a spanning forest with the largest weights, over weights of ``least`` or more."""
+    n = len(weight)
+    best, source, todo, out = np.full(n, -np.inf), np.zeros(n, np.int64), np.ones(n, bool), []
+    for _ in range(n):
+        at = int(np.where(todo, best, -np.inf).argmax())
+        if best[at] < least or not todo[at]:
+            at = int(todo.argmax())
+        else:
+            out.append((int(source[at]), at))
+        todo[at] = False
+        nearer = todo & (weight[at] > best)
+        best[nearer], source[nearer] = weight[at][nearer], at
+    return out
+
+
+def likeliest(rows: DataFrame, prepare: Callable, weigh: Callable, least: float, block: int = 1024, group: int = 8192) -> DataFrame:
+    """a, b (a > b), distinct: for each bucket a spanning forest of the pairs with the largest
+    weights, among those of ``least`` or more: at most one pair per member and bucket.
+    weigh(a, b, pairwise) gives the weights of equally long a and b, or of all pairs."""
+    def compare(frame: pd.DataFrame, across: bool) -> pd.DataFrame:
+        sides = frame["_side"].to_numpy()
+        ready = prepare(frame)
+        node, (lo, hi) = ready["node"], _segments(frame)
+        two = lo[(hi - lo == 2)] if not across else lo[:0]
+        keep = two[weigh({k: v[two] for k, v in ready.items()}, {k: v[two + 1] for k, v in ready.items()}, True) >= least] if len(two) else two
+        left, right = [node[keep]], [node[keep + 1]]
+        for a, b in zip(lo, hi):
+            if b - a > 2 or across:
+                own = {k: v[a:b] for k, v in ready.items()}
+                weight = weigh(own, own, False)
+                if across:
+                    weight = np.where(sides[a:b][:, None] != sides[a:b][None, :], weight, -1.0)
+                pairs = np.array(_best_forest(weight, least), np.int64).reshape(-1, 2)
+                left.append(own["node"][pairs[:, 0]])
+                right.append(own["node"][pairs[:, 1]])
+        x, y = np.concatenate(left), np.concatenate(right)
+        return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
+    return _dealt(rows, compare, "a bigint, b bigint", block, group).distinct()

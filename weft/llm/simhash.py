@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -10,8 +12,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import linked
-from .common import components, stored
+from .buckets import likeliest, linked
+from .common import components, filled, stored
 
 BITS = 64
 #: Shingles whose bits are held at once.
@@ -101,12 +103,126 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     return prints.join(grouped(prints, radius), "print").select("doc_id", "print", "component_id")
 
 
-def one_of_each(docs: DataFrame, size: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their group, one for each group; of
-    rows with one doc_id any one. Null ids come last."""
-    rows = stored(docs.select(F.struct("*").alias("row"), print_of(F.col("text"), size).alias("print"),
-                              F.monotonically_increasing_id().alias("row_id")))
-    prints = rows.select(F.col("row.doc_id").alias("doc_id"), "print", "row_id")
-    first = prints.join(grouped(prints, radius).select("print", "root"), "print").groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("first"))
-    return rows.join(first.select(F.col("first.row_id").alias("row_id")), "row_id", "left_semi").select("row.*")
+#: The documents' own dedup: word shingles, least Jaccard similarity, bits that fingerprints may differ in,
+#: values of a sketch, and how far below ``LEAST`` a sketch may say and a pair is still measured.
+SHINGLE, LEAST, RADIUS, SKETCH, SLACK = 5, 0.8, 5, 128, 0.14
+
+
+def _shingles(words: list[bytes], size: int) -> np.ndarray:
+    """The distinct hashes of the word shingles."""
+    size = min(size, len(words))
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i:i + size]), 42) for i in range(len(words) - size + 1)], np.uint64))
+
+
+@cache
+def _factors() -> np.ndarray:
+    return np.random.default_rng(9).integers(1, 1 << 63, (2, SKETCH), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def profile(text: str) -> tuple[str, int, bytes]:
+    """Of a text: a hash of its words, the SimHash of its words (each distinct word weighs the root of
+    its count), and a sketch: the least of SKETCH hashes of its word shingles, one byte of each."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return "", 0, bytes(SKETCH)
+    counts = Counter(words)
+    names = sorted(counts)
+    hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in names], np.uint64)
+    weights, ones = np.sqrt(np.array([counts[w] for w in names], float)), np.zeros(BITS)
+    for lo in range(0, len(names), CHUNK):
+        bits = np.unpackbits(hashes[lo:lo + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones += weights[lo:lo + CHUNK] @ bits
+    first, least = _factors(), np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    own = _shingles(words, SHINGLE)
+    for lo in range(0, len(own), 4096):
+        mixed = (own[lo:lo + 4096, None] ^ first[0]) * first[1]
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(31))).min(axis=0))
+    return (xxhash.xxh3_128_hexdigest(b" ".join(words)), signed(int(np.packbits(2 * ones > weights.sum(), bitorder="little").view(np.uint64)[0])),
+            (least * first[1] >> np.uint64(56)).astype(np.uint8).tobytes())
+
+
+def _sketched(frame: pd.DataFrame) -> dict:
+    node = frame["node"].to_numpy(np.int64)
+    out = {"node": node, "bits": np.ascontiguousarray(frame["print"].to_numpy(np.int64)).view(np.uint64),
+           "sketch": np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, SKETCH), "group": frame["group"].to_numpy(np.int64)}
+    refused = np.empty(len(frame), object)
+    refused[:] = list(frame["refused"])
+    return out | {"refused": refused}
+
+
+def _estimates(left: dict, right: dict, pairwise: bool) -> np.ndarray:
+    """Similarity by sketches; -1 for pairs of one group, refused pairs and far fingerprints."""
+    if pairwise:
+        same = (left["sketch"] == right["sketch"]).mean(axis=1)
+        off = (left["group"] == right["group"]) | (np.bitwise_count(left["bits"] ^ right["bits"]) > RADIUS)
+        off |= np.array([a in r for a, r in zip(left["node"], right["refused"])], bool)
+    else:
+        same = np.stack([(row == right["sketch"]).mean(axis=1) for row in left["sketch"]])
+        off = (left["group"][:, None] == right["group"][None, :]) | (np.bitwise_count(left["bits"][:, None] ^ right["bits"][None, :]) > RADIUS)
+        for i, r in enumerate(left["refused"]):
+            if len(r):
+                off[i] |= np.isin(right["node"], r)
+        off |= off.T
+    return np.where(off, -1.0, (same - 1 / 256) / (1 - 1 / 256))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those whose group has a smaller doc_id: one row per group.
+
+    Two documents are linked if the Jaccard similarity of their sets of 5-word shingles (A-Z in
+    lower case) is 0.8 or more and their fingerprints differ in RADIUS bits at most; groups
+    are chains of links. Documents of equal words are one node. Nodes that meet under a mask
+    are compared by sketches, and each bucket names a spanning forest of its most similar
+    pairs; those are measured on their texts. Where a pair is refused, the rest of its bucket
+    may still link, so the affected nodes meet again without what is settled, until no new
+    pair turns up. So a group of n near copies costs about n measurements, not n squared.
+
+    Null and empty texts are one group. Rows of one doc_id and text are one document. Null ids
+    come last. An empty table gives no rows; extra columns are kept."""
+    @F.pandas_udf("same string, print bigint, sketch binary")
+    def profiled(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([profile(t) for t in texts], columns=["same", "print", "sketch"])
+
+    @F.pandas_udf("double")
+    def measured(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b):
+            p, q = (_shingles(t.encode("utf-8", "surrogatepass").lower().split(), SHINGLE) for t in (x, y))
+            met = len(np.intersect1d(p, q, assume_unique=True))
+            out.append(met / (len(p) + len(q) - met))
+        return pd.Series(out)
+    key = [F.col("doc_id").alias("id"), F.xxhash64(filled("text")).alias("text_key")]
+    seen = stored(docs.select(*key, profiled(filled("text")).alias("p")).select("id", "text_key", "p.*").withColumn(
+        "row_id", F.monotonically_increasing_id()))
+    nodes = stored(seen.groupBy("same").agg(F.min("row_id").alias("node"), F.any_value("print").alias("print"), F.any_value("sketch").alias("sketch")))
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("print").bitwiseAND(F.lit(signed(m)))) for t, m in enumerate(masks(RADIUS))])
+    named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")).alias("i"),
+                        F.xxhash64(filled("text")).alias("k"), filled("text").alias("t"), F.struct("*").alias("row"))
+    settled = None
+    open_ = nodes.select("node", "print", "sketch", F.col("node").alias("group"), F.array().cast("array<bigint>").alias("refused"))
+    where = seen.select(F.col("row_id").alias("node"), "id", "text_key")
+    while True:
+        found = likeliest(open_.withColumn("key", F.explode(keys)), _sketched, _estimates, LEAST - SLACK)
+        found = stored(found)
+        ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(where, "node")
+        ends = ends.select("node", F.struct(F.col("id").isNull().alias("none"), "id").alias("i"), F.col("text_key").alias("k"))
+        texts = stored(named.select("i", "k", "t").join(ends, ["i", "k"]).select("node", "t").dropDuplicates(["node"]))
+        new = stored(found.join(texts.select(F.col("node").alias("a"), F.col("t").alias("x")), "a").join(
+            texts.select(F.col("node").alias("b"), F.col("t").alias("y")), "b").select("a", "b", (measured("x", "y") >= LEAST).alias("ok")))
+        settled = new if settled is None else settled.unionByName(new)
+        if new.filter("not ok").isEmpty():
+            break
+        chains = components(settled.select("a", "b"))
+        again = chains.join(new.filter("not ok").select(F.col("a").alias("node")).join(chains, "node").select("root").distinct(), "root", "left_semi")
+        linked_now = components(settled.filter("ok").select("a", "b"))
+        refused = settled.filter("not ok").groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused"))
+        open_ = stored(nodes.join(again.select("node"), "node", "left_semi").join(
+            linked_now.withColumnRenamed("root", "group"), "node", "left").join(refused, "node", "left").select(
+            "node", "print", "sketch", F.coalesce("group", "node").alias("group"),
+            F.coalesce("refused", F.array().cast("array<bigint>")).alias("refused")))
+    roots = components(settled.filter("ok").select("a", "b"))
+    groups = nodes.join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("group"))
+    first = seen.join(groups, "same").groupBy("group").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_id", "text_key")).alias("first"))
+    stay = first.select(F.struct(F.col("first.none").alias("none"), F.col("first.id").alias("id")).alias("i"), F.col("first.text_key").alias("k"))
+    return named.join(stay, ["i", "k"], "left_semi").dropDuplicates(["i", "k"]).select("row.*")
