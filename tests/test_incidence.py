@@ -143,7 +143,7 @@ def test_influence_counts_match_edges(make):
     for s, _ in rows(temporal.influence_edges(ev)):
         want[s] += 1
     assert dict(rows(temporal.influence_degree(ev))) == want
-    assert dict(rows(temporal.influence_degree(ev, widest=0))) == want
+    assert dict(rows(temporal.influence_degree(ev, narrow=0))) == want
 
 
 def test_growth_and_shift(make):

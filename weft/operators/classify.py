@@ -77,7 +77,11 @@ def training_rows(texts: DataFrame, labels: DataFrame, features: DataFrame) -> t
 
 
 def _pipeline(classifier):
-    return Pipeline(stages=[StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc"), classifier])
+    return Pipeline(stages=[_labels(), classifier])
+
+
+def _labels():
+    return StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc")
 
 
 def _tree():
@@ -85,7 +89,11 @@ def _tree():
 
 
 def _named(model, predicted: DataFrame) -> DataFrame:
-    names = F.array(*[F.lit(x) for x in model.stages[0].labels])
+    return _spelled(model.stages[0].labels, predicted)
+
+
+def _spelled(labels: list[str], predicted: DataFrame) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in labels])
     return predicted.withColumn("predicted", F.element_at(names, F.col("prediction").cast("int") + 1))
 
 
@@ -111,22 +119,23 @@ def _uniform(seed: int):
 
 def out_of_bag_error(rows: DataFrame, trees: int = 10, seed: int = 42) -> DataFrame:
     """One row: n, oob_error. Each tree is fitted on a bootstrap whose draw per study
-    follows Poisson(1) by hash; the studies it left out are predicted, and votes decide."""
+    follows Poisson(1) by hash; the studies it left out are predicted, and votes decide.
+    Labels are numbered before any draw, so a study whose label is in no bag counts as an error."""
     limits, p, total = [], 0.36787944117144233, 0.0
     for i in range(1, 9):
         total += p
         limits.append(total)
         p /= i
     votes = None
-    rows = cut(rows)
+    index = _labels().fit(rows)
+    rows = cut(index.transform(rows))
     for t in range(trees):
         u = _uniform(seed + t)
         drawn = sum((F.when(u >= limit, 1).otherwise(0) for limit in limits), F.lit(0))
         weighted = rows.withColumn("draws", drawn)
         bag = weighted.filter("draws > 0").withColumn("weight", F.col("draws").cast("double"))
-        model = _pipeline(_tree().setWeightCol("weight")).fit(bag)
-        left = weighted.filter("draws = 0").join(bag.select("label").distinct(), "label", "left_semi")
-        said = _named(model, model.transform(left)).select("study_id", "label", "predicted")
+        model = _tree().setWeightCol("weight").fit(bag)
+        said = _spelled(index.labels, model.transform(weighted.filter("draws = 0"))).select("study_id", "label", "predicted")
         votes = said if votes is None else votes.unionByName(said)
     counts = votes.groupBy("study_id", "label", "predicted").agg(F.count("*").alias("n"))
     best = counts.groupBy("study_id", "label").agg(F.min(F.struct((-F.col("n")).alias("n"), "predicted"))["predicted"].alias("predicted"))
@@ -134,14 +143,15 @@ def out_of_bag_error(rows: DataFrame, trees: int = 10, seed: int = 42) -> DataFr
 
 
 def fold_accuracy(rows: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
-    """One row: accuracy of trees tested on folds they did not see."""
-    rows = cut(rows.withColumn("fold", F.floor(_uniform(seed) * folds).cast("int")))
+    """One row: accuracy of trees tested on folds they did not see. A label that only the
+    tested fold has counts as an error."""
+    index = _labels().fit(rows)
+    rows = cut(index.transform(rows).withColumn("fold", F.floor(_uniform(seed) * folds).cast("int")))
     said = None
     for f in range(folds):
         train, test = rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f)
-        model = _pipeline(_tree()).fit(train)
-        test = test.join(train.select("label").distinct(), "label", "left_semi")
-        part = _named(model, model.transform(test)).select("label", "predicted")
+        model = _tree().fit(train)
+        part = _spelled(index.labels, model.transform(test)).select("label", "predicted")
         said = part if said is None else said.unionByName(part)
     return said.agg((F.count_if(F.col("label") == F.col("predicted")) / F.lit(rows.count())).alias("accuracy"))
 

@@ -12,8 +12,6 @@ from ..plans.lineage import cut
 from ..plans.pairs import incidence, theme_pairs
 from ..sources.documents import Evidence
 
-FIRST_CODE_UNIT = 0x3400  # a block of 27,000 plain UTF-16 code units, one per theme
-
 
 def storylines(ev: Evidence) -> DataFrame:
     """study_id, themes ARRAY: themes by the first finding with one of their words, then
@@ -45,18 +43,19 @@ def storyline_similarity(ev: Evidence, classes: DataFrame) -> DataFrame:
     """a < b, similarity = 1 - edit distance / longer length, for distinct storylines with
     a common theme. Without a common theme the distance is the longer length, so the
     missing pairs are exactly 0; equal storylines are 1."""
-    if ev.themes.count() > 0x9FFF - FIRST_CODE_UNIT:
-        raise ValueError("more themes than single code units")
-    place = Window.partitionBy(F.lit(0)).orderBy("ord", "theme_id")  # the codebook only
-    letters = ev.themes.select("theme_id", F.decode(F.unhex(F.lpad(F.hex(
-        F.row_number().over(place) - 1 + FIRST_CODE_UNIT), 4, "0")), "UTF-16BE").alias("letter"))
-    table = letters.agg(F.map_from_entries(F.collect_list(F.struct("theme_id", "letter")))).scalar()
-    coded = cut(classes.withColumn("m", table).select(
-        "line", "themes", F.array_join(F.transform("themes", lambda t: F.element_at("m", t)), "").alias("code")))
-    met = paired_within(coded.select("line", "code", F.explode("themes").alias("theme")), "theme", "line", ["code"])
-    pairs = met.select("a", "b", "code_a", "code_b").distinct()
-    longer = F.greatest(F.length("code_a"), F.length("code_b"))
-    return pairs.select("a", "b", (1 - F.levenshtein("code_a", "code_b") / longer).alias("similarity"))
+    met = paired_within(classes.select("line", "themes", F.explode("themes").alias("theme")).distinct(), "theme", "line", ["themes"])
+    pairs = met.select("a", "b", "themes_a", "themes_b").distinct()
+
+    def spelled(themes, known):
+        """One character per theme, by its place among the themes of the pair."""
+        def letter(t):
+            at = F.array_position(known, t)
+            return F.decode(F.unhex(F.lpad(F.hex(at + F.when(at < 20_000, 0x4E00).otherwise(0x20000)), 8, "0")), "UTF-32")
+        return F.array_join(F.transform(themes, letter), "")
+    distance = let(F.array_union("themes_a", "themes_b"), lambda known: F.levenshtein(
+        spelled(F.col("themes_a"), known), spelled(F.col("themes_b"), known)))
+    longer = F.greatest(F.size("themes_a"), F.size("themes_b"))
+    return pairs.select("a", "b", (1 - distance / longer).alias("similarity"))
 
 
 def traditions(ev: Evidence, stories: DataFrame, threshold: float = 0.5) -> DataFrame:

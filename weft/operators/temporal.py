@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp, entropy_of, entropy_term, let, safe_div
+from ..plans.lineage import cut
 from ..plans.pairs import incidence, theme_pairs
 from ..sources.documents import Evidence
 
-WIDEST_SUBSETS = 14
+#: Pairs of studies with this many themes each, or fewer, are counted through theme subsets.
+NARROW = 12
 
 
 def yearly(ev: Evidence) -> DataFrame:
@@ -64,33 +66,34 @@ def influence_edges(ev: Evidence) -> DataFrame:
     return rows.join(later, "theme_id").filter("year < later").select(F.col("study_id").alias("source"), "target").distinct()
 
 
-def influence_degree(ev: Evidence, widest: int = WIDEST_SUBSETS) -> DataFrame:
+def influence_degree(ev: Evidence, narrow: int = NARROW) -> DataFrame:
     """study_id, degree: number of later studies that share a theme.
 
-    Studies are folded by (theme set, year). The studies after year y that meet a set X
-    are counted by inclusion and exclusion over the subsets of X: each folded class
-    emits its subsets once, so the work grows with the classes and not with the pairs.
-    When a study has more than ``widest`` themes, the pairs of folded classes are
-    counted instead."""
+    Studies are folded by (theme set, year). Among the classes of up to ``narrow`` themes,
+    those after year y that meet a set X are counted by inclusion and exclusion over the
+    subsets of X: each class emits its subsets once, so the work grows with the classes and
+    not with the pairs. A class with more themes meets the others theme by theme, and costs
+    its own pairs only."""
     per_study = incidence(ev.theme_studies).groupBy("study_id").agg(F.array_sort(F.collect_set("theme_id")).alias("themes"))
     rows = per_study.join(ev.studies.select("study_id", "year"), "study_id")
     classes = rows.groupBy("themes", "year").agg(F.count("*").alias("n"))
-    size = classes.agg(F.max(F.size("themes"))).first()[0] or 0
-    if size <= widest:
-        subsets = F.expr("transform(sequence(1L, shiftleft(1L, size(themes)) - 1), m -> struct("
-                         "filter(themes, (t, i) -> (shiftright(m, i) & 1) = 1) AS s, bit_count(m) AS k))")
-        parts = classes.select("themes", "year", "n", F.explode(subsets).alias("u")).select("themes", "year", "n", "u.s", "u.k")
-        later = Window.partitionBy("s").orderBy(F.desc("year")).rowsBetween(Window.unboundedPreceding, -1)
-        after = parts.groupBy("s", "year").agg(F.sum("n").alias("n")).select(
-            "s", "year", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("after"))
-        sign = F.when(F.col("k") % 2 == 1, F.col("after")).otherwise(-F.col("after"))
-        reach = parts.join(after, ["s", "year"]).groupBy("themes", "year").agg(F.sum(sign).alias("degree"))
-    else:
-        keyed = classes.withColumn("c", F.sha2(F.concat_ws("\x01", F.concat("themes", F.array(F.col("year").cast("string")))), 256))
-        item = keyed.select("c", "year", "n", F.explode("themes").alias("t"))
-        late = item.select(F.col("c").alias("d"), F.col("year").alias("later"), F.col("n").alias("m"), "t")
-        reach = (item.join(late, "t").filter("year < later").groupBy("c", "d").agg(F.first("m").alias("m"))
-                 .groupBy("c").agg(F.sum("m").alias("degree")).join(keyed, "c").select("themes", "year", "degree"))
+    classes = cut(classes.withColumn("c", F.sha2(F.concat_ws("\x01", F.concat("themes", F.array(F.col("year").cast("string")))), 256)))
+    few = classes.filter(F.size("themes") <= narrow)
+    subsets = F.expr("transform(sequence(1L, shiftleft(1L, size(themes)) - 1), m -> struct("
+                     "filter(themes, (t, i) -> (shiftright(m, i) & 1) = 1) AS s, bit_count(m) AS k))")
+    parts = few.select("c", "year", "n", F.explode(subsets).alias("u")).select("c", "year", "n", "u.s", "u.k")
+    later = Window.partitionBy("s").orderBy(F.desc("year")).rowsBetween(Window.unboundedPreceding, -1)
+    after = parts.groupBy("s", "year").agg(F.sum("n").alias("n")).select(
+        "s", "year", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("after"))
+    sign = F.when(F.col("k") % 2 == 1, F.col("after")).otherwise(-F.col("after"))
+    among_few = parts.join(after, ["s", "year"]).groupBy("c").agg(F.sum(sign).alias("degree"))
+    item = classes.select("c", "year", "n", (F.size("themes") > narrow).alias("wide"), F.explode("themes").alias("t"))
+    wide = item.filter("wide").select(F.col("c").alias("d"), F.col("year").alias("y"), F.col("n").alias("m"), "t")
+    met = item.join(wide, "t").filter("year <> y").select("c", "year", "n", "wide", "d", "y", "m").distinct()
+    with_wide = met.filter("year < y").select("c", F.col("m").alias("k")).unionByName(
+        met.filter("year > y and not wide").select(F.col("d").alias("c"), F.col("n").alias("k")))
+    reach = (among_few.unionByName(with_wide.groupBy("c").agg(F.sum("k").alias("degree"))).groupBy("c")
+             .agg(F.sum("degree").alias("degree")).join(classes, "c").select("themes", "year", "degree"))
     found = rows.join(reach, ["themes", "year"]).select("study_id", "degree")
     return ev.studies.select("study_id").join(found, "study_id", "left").select(
         "study_id", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))

@@ -1,7 +1,7 @@
 """The evidence views of ``weft.sources.tables`` as SQL common table expressions."""
 
 from ..functions.lexicons import STOPWORDS
-from ..sources.tables import CODEBOOK, EVENT_VALUE
+from ..sources.tables import CODEBOOK, DAYS
 
 
 def quoted(words) -> str:
@@ -29,10 +29,10 @@ ts AS (SELECT unnest([n_name, r_name, 'WORLD']) AS theme_id, c_custkey AS study_
 """
 
 EVENTS = f"""
-st AS (SELECT user_id AS study_id, user_id AS ord FROM events GROUP BY user_id),
+ev AS (SELECT user_id * {DAYS} + epoch(ts)::BIGINT // 86400 AS study_id, printf('K%02d', CAST(json_extract_string(props, '$.k') AS BIGINT) % 12) AS theme_id FROM events),
+st AS (SELECT DISTINCT study_id, study_id AS ord FROM ev),
 th AS (SELECT DISTINCT printf('K%02d', CAST(json_extract_string(props, '$.k') AS BIGINT) % 12) AS theme_id FROM events),
-ts AS (SELECT DISTINCT printf('K%02d', CAST(json_extract_string(props, '$.k') AS BIGINT) % 12) AS theme_id,
-         user_id AS study_id FROM events WHERE value > {EVENT_VALUE})
+ts AS (SELECT DISTINCT theme_id, study_id FROM ev)
 """
 
 _N = len(CODEBOOK)
@@ -52,7 +52,7 @@ ts AS (SELECT 'T' || (k % {_N}) AS theme_id, doc_id AS study_id FROM src
        UNION ALL SELECT 'T' || ((k + 3) % {_N}), doc_id FROM src WHERE k % 5 = 0),
 quotes AS (SELECT conv_id AS study_id, conv_id || '-' || turn AS quote_id, turn, text FROM conversations),
 tq AS (SELECT DISTINCT 'T' || ((conv_id + turn) % {_N - 2}) AS theme_id, conv_id || '-' || turn AS quote_id
-       FROM conversations WHERE role <> 'system'),
+       FROM conversations),
 lines AS (SELECT doc_id AS study_id, unnest(string_split(text, chr(10))) AS text,
             unnest(range(len(string_split(text, chr(10))))) AS part FROM documents),
 parts AS (SELECT study_id, part, text FROM lines

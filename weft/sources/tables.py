@@ -64,7 +64,7 @@ def documents_evidence(spark: SparkSession, folder: str) -> Evidence:
         lambda i: i.isNotNull())).alias("i"))
     theme_studies = links.select(F.concat(F.lit("T"), F.col("i").cast("string")).alias("theme_id"),
                                  "study_id", F.col("study_id").alias("pos"))
-    theme_quotes = table(spark, folder, "conversations").filter(F.col("role") != "system").select(
+    theme_quotes = table(spark, folder, "conversations").select(
         F.concat(F.lit("T"), ((F.col("conv_id") + F.col("turn")) % (n - 2)).cast("string"))
         .alias("theme_id"),
         F.concat_ws("-", "conv_id", "turn").alias("quote_id"), F.col("conv_id").alias("pos"))
@@ -143,20 +143,19 @@ def customers_evidence(spark: SparkSession, folder: str) -> Evidence:
     return Evidence(studies, themes, links)
 
 
-EVENT_VALUE = 113.0
+DAYS = 1_000_000  # more than the days since 1970, so user and day make one number
 
 
 def events_evidence(spark: SparkSession, folder: str) -> Evidence:
-    """Users as studies, twelve buckets of the event payload as themes, from the
-    events with a high value."""
-    events = table(spark, folder, "events")
-    studies = events.groupBy(F.col("user_id").alias("study_id")).agg(
+    """Days of activity of a user as studies, twelve buckets of the event payload as
+    themes, from all events."""
+    day = F.floor(F.unix_timestamp("ts") / 86400).cast("bigint")
+    events = table(spark, folder, "events").withColumn("study_id", F.col("user_id") * DAYS + day)
+    studies = events.groupBy("study_id").agg(
         F.year(F.min("ts")).alias("year")).select(
         "study_id", F.col("study_id").alias("ord"), "year", F.lit("moderate").alias("quality_score"))
     k = F.get_json_object("props", "$.k").cast("bigint") % 12
-    rows = events.filter(F.col("value") > EVENT_VALUE).select(
-        F.format_string("K%02d", k).alias("theme_id"), F.col("user_id").alias("study_id"),
-        F.col("user_id").alias("pos"))
+    rows = events.select(F.format_string("K%02d", k).alias("theme_id"), "study_id", F.col("study_id").alias("pos"))
     themes = events.select(k.alias("ord")).distinct().select(
         F.format_string("K%02d", "ord").alias("theme_id"), "ord",
         F.format_string("K%02d", "ord").alias("label"), F.lit("descriptive").alias("level"),
