@@ -45,3 +45,25 @@ def test_report_and_sink(spark, evidence, tmp_path):
     assert one(report["theme_summary"])["study_coverage"] == 0.5
     write_results(report, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out" / "coverage")).count() == 1
+
+
+def test_several_documents_are_numbered_one_after_the_other(spark, tmp_path):
+    for name in ("b", "a"):
+        doc = DOC | {"name": name, "concepts": ["c", name], "studies": [s | {"study_id": name + s["study_id"]} for s in DOC["studies"]],
+                     "themes": [t | {"theme_id": name + "T"} for t in DOC["themes"]]}
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc, indent=1))
+    ev = load_evidence(spark, str(tmp_path))
+    assert [r["study_id"] for r in ev.studies.orderBy("ord").collect()] == ["aS1", "aS2", "bS1", "bS2"]
+    assert ev.studies.select("ord").distinct().count() == 4
+    assert ev.concepts == ["c", "a", "b"]
+    assert [r["study_id"] for r in load_evidence(spark, str(tmp_path), "b").studies.orderBy("ord").collect()] == ["bS1", "bS2"]
+
+
+def test_fingerprint_of_blocks(spark):
+    import hashlib
+    df = spark.createDataFrame([(f"S{i}", i, i, 2000) for i in range(25)], "study_id string, ord bigint, sample_size int, year int")
+    def digest(lo, hi):
+        return hashlib.sha256(("[" + ", ".join(f'{{"id": "S{i}", "n": {i}, "year": 2000}}' for i in range(lo, hi)) + "]").encode()).hexdigest()
+    want = hashlib.sha256(f"[{digest(0, 10)}, {digest(10, 20)}, {digest(20, 25)}]".encode()).hexdigest()[:16]
+    assert one(synthesis.input_fingerprint(df, block=10))["input_hash"] == want
+    assert one(synthesis.input_fingerprint(df))["input_hash"] == digest(0, 25)[:16]

@@ -216,16 +216,23 @@ def matrix_verdict(stats: DataFrame) -> DataFrame:
 
 # --- provenance ---------------------------------------------------------------
 
-def input_fingerprint(studies: DataFrame) -> DataFrame:
-    """First 16 hex digits of the SHA-256 of the JSON list of (id, n, year) in study
-    order. The digest is over one text by definition, so the list must fit one
-    row (about 30 million studies); a larger collection has no such certificate."""
+def input_fingerprint(studies: DataFrame, block: int = 10_000) -> DataFrame:
+    """First 16 hex digits of a SHA-256 over (id, n, year) in study order.
+
+    Every ``block`` consecutive order numbers make one JSON list, and each list its digest.
+    The digest of a collection of one list is that list's, as for any review; of more, that
+    of the JSON list of their digests. No text holds more than a block of studies."""
     item = F.format_string('{"id": "%s", "n": %d, "year": %d}', F.col("study_id").cast("string"),
                            F.col("sample_size"), F.col("year"))
-    rows = studies.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", item.alias("item")))),
-                                   lambda s: s["item"]).alias("items"))
-    return rows.select(F.substring(F.sha2(F.concat(F.lit("["), F.array_join("items", ", "), F.lit("]")), 256),
-                                   1, 16).alias("input_hash"))
+
+    def listed(name, order):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, name))), lambda s: s[name]), ", ")
+    lists = studies.select(F.floor(F.col("ord") / block).alias("block"), "ord", item.alias("item")).groupBy("block").agg(
+        F.sha2(F.concat(F.lit("["), listed("item", "ord"), F.lit("]")), 256).alias("digest"))
+    several = F.sha2(F.concat(F.lit("["), listed("digest", "block"), F.lit("]")), 256)
+    none = F.sha2(F.lit("[]"), 256)
+    return lists.agg(F.substring(F.when(F.count("*") == 0, none).when(F.count("*") == 1, F.min("digest")).otherwise(several),
+                                 1, 16).alias("input_hash"))
 
 
 def certification(n_studies, n_themes, n_findings):

@@ -111,11 +111,11 @@ def auc(spark, folder):
 
 # --- depth --------------------------------------------------------------------
 
-_LEVELS = f"""{DOCS}, lv AS (SELECT theme_id, CASE
+_CASES = f"""CASE
  WHEN list_has_any(w, [{quoted(depth.ABSTRACTION_WORDS[4])}]) THEN 4 WHEN list_has_any(w, [{quoted(depth.ABSTRACTION_WORDS[3])}]) THEN 3
  WHEN list_has_any(w, [{quoted(depth.ABSTRACTION_WORDS[2])}]) THEN 2 WHEN list_has_any(w, [{quoted(depth.ABSTRACTION_WORDS[1])}]) THEN 1
- WHEN level = 'analytical' THEN 3 WHEN level = 'interpretive' THEN 2 ELSE 1 END AS abstraction
- FROM (SELECT theme_id, level, {_clean("label")} AS w FROM th)),
+ WHEN level = 'analytical' THEN 3 WHEN level = 'interpretive' THEN 2 ELSE 1 END"""
+_LEVELS = f"""{DOCS}, lv AS (SELECT theme_id, {_CASES} AS abstraction FROM (SELECT theme_id, level, {_clean("label")} AS w FROM th)),
 sl AS (SELECT st.study_id, any_value(year) AS year, any_value(ord) AS ord, round(coalesce(avg(abstraction), 1.0), 12) AS v FROM st
   LEFT JOIN ts ON ts.study_id = st.study_id LEFT JOIN lv ON lv.theme_id = ts.theme_id GROUP BY 1)"""
 NEGATIONS = ["no", "not", "lest", "der"]
@@ -138,9 +138,34 @@ def _findings(ev):
     return ev.studies.select("study_id", F.explode("findings").alias("text"))
 
 
-@query("abstraction_levels", f"WITH {_LEVELS} SELECT * FROM lv")
+_SAID = [w for level in sorted(depth.ABSTRACTION_WORDS) for w in sorted(depth.ABSTRACTION_WORDS[level])] + ["support", "people"]
+_EVENT_THEMES = f"""th AS (SELECT DISTINCT event_type || '-' || user_id || '-' || k AS theme_id, event_type || ' ' || [{quoted(_SAID)}][k % {len(_SAID)} + 1] AS label,
+  CASE user_id % 3 WHEN 0 THEN 'analytical' WHEN 1 THEN 'interpretive' ELSE 'descriptive' END AS level
+ FROM (SELECT event_type, user_id, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)),
+lv AS (SELECT theme_id, {_CASES} AS abstraction FROM (SELECT theme_id, level, {_clean("label")} AS w FROM th))"""
+
+
+def _event_themes(spark, folder):
+    """A theme for each kind of event, user and payload, labelled by a word that the payload picks."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    word = F.element_at(F.array(*[F.lit(w) for w in _SAID]), k % len(_SAID) + 1)
+    level = F.when(F.col("user_id") % 3 == 0, "analytical").when(F.col("user_id") % 3 == 1, "interpretive").otherwise("descriptive")
+    return tables.table(spark, folder, "events").select(
+        F.concat_ws("-", "event_type", "user_id", k).alias("theme_id"), F.concat_ws(" ", "event_type", word).alias("label"),
+        level.alias("level")).distinct()
+
+
+@query("abstraction_levels", f"WITH {_EVENT_THEMES} SELECT * FROM lv")
 def abstraction_levels(spark, folder):
-    return depth.abstraction_levels(tables.documents_evidence(spark, folder).themes)
+    return depth.abstraction_levels(_event_themes(spark, folder))
+
+
+@query("level_stats", f"""WITH {_EVENT_THEMES} SELECT count(*) FILTER (abstraction = 1) AS level_1, count(*) FILTER (abstraction = 2) AS level_2,
+ count(*) FILTER (abstraction = 3) AS level_3, count(*) FILTER (abstraction = 4) AS level_4, {R('avg(abstraction)')} AS mean_abstraction,
+ {R('avg((abstraction >= 3)::INT)')} AS theoretical_reach FROM lv""")
+def level_stats(spark, folder):
+    """Counts per level, mean level and theoretical reach over the event themes."""
+    return rounded(depth.level_stats(depth.abstraction_levels(_event_themes(spark, folder))), "mean_abstraction", "theoretical_reach")
 
 
 @query("hierarchy_depth", f"""WITH RECURSIVE {CUSTOMERS}, up(theme_id, tip, d) AS (SELECT theme_id, parent_id, 0 FROM th

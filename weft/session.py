@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -13,4 +15,6 @@ def local_session(cpus: str | int = "*", name: str = "weft") -> SparkSession:
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.driver.memory", "12g")
             .config("spark.ui.enabled", "false")
+            .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+            .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
             .getOrCreate())

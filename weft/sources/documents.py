@@ -5,10 +5,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.lineage import cut
+
+#: More than the studies, themes or findings of one document.
+IN_A_DOCUMENT = 1 << 32
 S, I = T.StringType(), T.IntegerType()
 
 
@@ -68,11 +72,19 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_evidence(spark: SparkSession, path: str, name: str | None = None) -> Evidence:
-    """Base tables of the document(s) at ``path``; ``name`` keeps one document."""
-    raw = read_documents(spark, path)
+    """Base tables of the document(s) at ``path``; ``name`` keeps one document.
+
+    Several documents follow each other in the order of their file paths: a study, theme
+    or finding is numbered by its document, then by its place in it."""
+    raw = read_documents(spark, path).withColumn("file", F.col("_metadata.file_path")).withColumn("row", F.monotonically_increasing_id())
     if name is not None:
         raw = raw.filter(F.col("name") == name)
-    s = raw.select(F.posexplode("studies").alias("ord", "s")).select(F.col("ord").cast("bigint"), "s.*")
+    raw = cut(raw)
+    # one short row per document
+    place = raw.select("row", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("file", "row")) - 1).alias("document"))
+    raw = raw.join(place, "row")
+    number = F.col("document") * IN_A_DOCUMENT + F.col("ord")
+    s = raw.select("document", F.posexplode("studies").alias("ord", "s")).select(number.cast("bigint").alias("ord"), "s.*")
     quotes = F.transform("quotes", lambda q: F.struct(
         q["quote_id"].alias("quote_id"), q["text"].alias("text"),
         *[F.coalesce(q[k], F.lit(v)).alias(k) for k, v in QUOTE_DEFAULTS.items()]))
@@ -83,8 +95,8 @@ def load_evidence(spark: SparkSession, path: str, name: str | None = None) -> Ev
         F.coalesce(quotes, F.array().cast(
             "array<struct<quote_id:string,text:string,participant_id:string,page:string,context:string>>"
         )).alias("quotes"))
-    t = (raw.select(F.posexplode("themes").alias("ord", "t"))
-         .select(F.col("ord").cast("bigint"), "t.*").fillna(THEME_DEFAULTS))
+    t = (raw.select("document", F.posexplode("themes").alias("ord", "t"))
+         .select(number.cast("bigint").alias("ord"), "t.*").fillna(THEME_DEFAULTS))
     themes = t.select("theme_id", "ord", "label", "description", "level", "parent_id",
                       F.coalesce("concepts", F.array().cast("array<string>")).alias("concepts"))
 
@@ -92,12 +104,13 @@ def load_evidence(spark: SparkSession, path: str, name: str | None = None) -> Ev
         rows = t.select("theme_id", F.posexplode(column).alias("pos", key))
         return distinct_links(rows, "theme_id", key)
 
-    assessed = (raw.select(F.posexplode("cerqual_findings").alias("ord", "f"))
-                .select(F.col("ord").cast("bigint"), "f.*").fillna(FINDING_DEFAULTS)
+    assessed = (raw.select("document", F.posexplode("cerqual_findings").alias("ord", "f"))
+                .select(number.cast("bigint").alias("ord"), "f.*").fillna(FINDING_DEFAULTS)
                 .withColumn("contributing_studies",
                             F.coalesce("contributing_studies", F.array().cast("array<string>"))))
-    # the concept list is a caller parameter of the translation matrix, a handful of words
-    concepts = [r[0] for r in raw.select(F.explode("concepts")).collect()]
+    # a parameter of the translation matrix, whose columns they name: a handful of words, each once
+    named = raw.select("document", F.posexplode("concepts").alias("ord", "concept")).groupBy("concept").agg(F.min(number).alias("ord"))
+    concepts = [r["concept"] for r in named.orderBy("ord").collect()]
     return Evidence(studies, themes, links("assigned_studies", "study_id"),
                     links("assigned_quotes", "quote_id"), assessed, concepts)
 
