@@ -137,6 +137,12 @@ def out_of_bag_error(rows: DataFrame, trees: int = 10, seed: int = 42) -> DataFr
         model = _tree().setWeightCol("weight").fit(bag)
         said = _spelled(index.labels, model.transform(weighted.filter("draws = 0"))).select("study_id", "label", "predicted")
         votes = said if votes is None else votes.unionByName(said)
+    return vote_error(votes)
+
+
+def vote_error(votes: DataFrame) -> DataFrame:
+    """One row: n, oob_error of the most frequent prediction per study (ties: the smallest),
+    for a table (study_id, label, predicted) with a row per vote."""
     counts = votes.groupBy("study_id", "label", "predicted").agg(F.count("*").alias("n"))
     best = counts.groupBy("study_id", "label").agg(F.min(F.struct((-F.col("n")).alias("n"), "predicted"))["predicted"].alias("predicted"))
     return best.agg(F.count("*").alias("n"), (1 - F.avg((F.col("label") == F.col("predicted")).cast("double"))).alias("oob_error"))

@@ -96,7 +96,7 @@ def development_correlation(ev: Evidence, levels: DataFrame) -> DataFrame:
         F.avg(F.col("abstraction").cast("double")).alias("m"))
     rows = cut(ev.studies.select("study_id", "year", "ord").join(mean, "study_id", "left").select(
         "study_id", "year", "ord", F.round(F.coalesce("m", F.lit(1.0)), 12).alias("value")))
-    inside = numbered(rows, "ord", "place", by=["year"], span=ev.studies)
+    inside = numbered(rows, "ord", "place", by=["year"])
     years = rows.groupBy("year").agg(F.count("*").alias("n"))
     before = running_sums(years, "year", {"upto": F.col("n")}).select("year", (F.col("upto") - F.col("n")).alias("before"))
     placed = inside.join(before, "year").withColumn("rx", F.col("place") + F.col("before"))

@@ -44,7 +44,7 @@ def saturation_curve(ev: Evidence) -> DataFrame:
     the entropy of a prefix is then log2(T) - S / T from two running sums."""
     k = ev.themes.agg(F.count("*")).scalar()
     rows = incidence(ev.theme_studies).join(ev.studies.select("study_id", "ord"), "study_id")
-    ranked = numbered(rows, "ord", "c", by=["theme_id"], span=ev.studies)
+    ranked = numbered(rows, "ord", "c", by=["theme_id"])
     steps = ranked.groupBy("study_id").agg(
         F.count("*").alias("added"),
         F.sum(entropy_term("c") - entropy_term(F.col("c") - 1)).alias("gained"))

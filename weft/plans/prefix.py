@@ -1,8 +1,9 @@
 """Running sums over a long order, in two levels.
 
-A window without (or with a skewed) partition key sorts everything in one task.
-Here the order column is cut into a bounded number of equal-width ranges: the
-inner window runs per (key, range), the outer one only over the range totals."""
+A window without (or with a skewed) partition key sorts everything in one task. Here
+the rows are dealt into ranges of the order (ties by the tie columns) whose cuts Spark
+takes from a sample, so an outlier or a heavy value does not fill one range: the inner
+window runs per (key, range), the outer one only over the range totals."""
 
 from __future__ import annotations
 
@@ -11,33 +12,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 2048
+from .lineage import cut
 
 
-def _ranged(df: DataFrame, order: str, ranges: int, span: DataFrame | None) -> DataFrame:
-    span = (df if span is None else span).agg(F.struct(F.min(order).cast("double").alias("lo"),
-                           F.max(order).cast("double").alias("hi")).alias("s")).scalar()
-    width = (span["hi"] - span["lo"]) / ranges
-    cell = F.when(width > 0, F.floor((F.col(order).cast("double") - span["lo"])
-                                     / F.when(width > 0, width))).otherwise(F.lit(0))
-    return df.withColumn("_range", cell.cast("bigint"))
+def _ranged(df: DataFrame, order: str, tie: Sequence[str]) -> DataFrame:
+    """Adds _range, rising with the order. Written once, so it is the same in every use."""
+    return cut(df.repartitionByRange(order, *tie).withColumn("_range", F.spark_partition_id().cast("bigint")))
 
 
 def running_sums(df: DataFrame, order: str, sums: dict[str, Column], by: Sequence[str] = (),
-                 tie: Sequence[str] = (), ranges: int = RANGES,
-                 span: DataFrame | None = None) -> DataFrame:
+                 tie: Sequence[str] = ()) -> DataFrame:
     """Add, per output name, the sum of its column over all rows of the same ``by``
-    key up to and including this row in ``order`` (then ``tie``). ``span`` is a cheaper
-    table with the same order column to take the bounds from."""
+    key up to and including this row in ``order`` (then ``tie``)."""
     by = list(by)
-    rows = _ranged(df, order, ranges, span)
+    rows = _ranged(df, order, tie)
     for name, c in sums.items():
         rows = rows.withColumn(f"_v_{name}", c)
     inner = (Window.partitionBy(*by, "_range").orderBy(order, *tie)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     within = rows.select("*", *[F.sum(f"_v_{n}").over(inner).alias(f"_in_{n}") for n in sums])
     totals = rows.groupBy(*by, "_range").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
-    # at most `ranges` + 1 rows per key
+    # one row per key and range
     outer = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
     outer = outer.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     keys = [F.col(k).alias(f"_k_{k}") for k in by]
@@ -55,6 +50,6 @@ def running_sums(df: DataFrame, order: str, sums: dict[str, Column], by: Sequenc
 
 
 def numbered(df: DataFrame, order: str, name: str = "idx", by: Sequence[str] = (),
-             tie: Sequence[str] = (), span: DataFrame | None = None) -> DataFrame:
+             tie: Sequence[str] = ()) -> DataFrame:
     """1-based row number per ``by`` key in ``order``, without a one-task sort."""
-    return running_sums(df, order, {name: F.lit(1).cast("bigint")}, by, tie, span=span)
+    return running_sums(df, order, {name: F.lit(1).cast("bigint")}, by, tie)

@@ -4,6 +4,7 @@ what leads up to them and what follows has."""
 from pyspark.sql import functions as F
 
 from ..operators import classify, factor, kernels, topics
+from ..operators.text import term_counts
 from ..plans.lineage import cut
 from ..sources import tables
 from .measures import rounded
@@ -153,3 +154,81 @@ def topic_scores(spark, folder):
     texts = tables.document_texts(spark, folder)
     report = topics.topic_report(texts)
     return report["coherence"].withColumn("perplexity", report["perplexity"].select("perplexity").scalar())
+
+
+# --- measures of given models: what a fit is judged by, over models made from the tables ---
+
+_GIVEN = f"""{DOCS}, {_TOK}, mw AS (SELECT k % 3 AS topic, term, sum(tf.tf)::DOUBLE AS n FROM w AS tf JOIN src ON src.doc_id = tf.study_id GROUP BY 1, 2),
+words AS (SELECT topic, term, n / sum(n) OVER (PARTITION BY topic) AS weight FROM mw),
+mix AS (SELECT doc_id AS study_id, t AS topic, CASE WHEN k % 3 = t THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS share FROM src, range(3) r(t)),
+tops AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM words QUALIFY rank <= 10)"""
+
+
+def _given_topics(spark, folder):
+    """A topic per remainder of the source number: its documents' terms, and half of each document's mix."""
+    texts = tables.document_texts(spark, folder)
+    topic = (F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % 3).alias("own")
+    docs = tables.documents(spark, folder).select(F.col("doc_id").alias("study_id"), topic)
+    counted = term_counts(texts).join(docs, "study_id").groupBy(F.col("own").alias("topic"), "term").agg(F.sum("tf").cast("double").alias("n"))
+    total = counted.groupBy("topic").agg(F.sum("n").alias("total"))
+    words = counted.join(total, "topic").select("topic", "term", (F.col("n") / F.col("total")).alias("weight"))
+    mix = docs.select("study_id", "own", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("topic")).select(
+        "study_id", "topic", F.when(F.col("own") == F.col("topic"), 0.5).otherwise(0.25).alias("share"))
+    return texts, topics.TopicModel(cut(words), cut(mix), 3)
+
+
+@query("given_topic_perplexity", f"""WITH {_GIVEN}, p AS (SELECT tf.study_id, tf.term, any_value(tf.tf) AS n, sum(share * words.weight) AS p FROM w AS tf JOIN words ON words.term = tf.term
+  JOIN mix ON mix.study_id = tf.study_id AND mix.topic = words.topic GROUP BY 1, 2)
+SELECT sum(n)::BIGINT AS n_tokens, round(exp(-sum(n * ln(p)) / sum(n)), 4) + 0.0::DOUBLE AS perplexity FROM p""")
+def given_topic_perplexity(spark, folder):
+    out = topics.perplexity(*_given_topics(spark, folder))
+    return out.select(F.col("n_tokens").cast("bigint").alias("n_tokens"), (F.round("perplexity", 4) + 0.0).alias("perplexity"))
+
+
+@query("given_topic_words", f"WITH {_GIVEN} SELECT tops.topic, tops.term, rank, {R('weight')} AS weight FROM tops JOIN words ON words.topic = tops.topic AND words.term = tops.term")
+def given_topic_words(spark, folder):
+    return rounded(topics.top_words(_given_topics(spark, folder)[1]), "weight")
+
+
+@query("given_topic_coherence", f"""WITH {_GIVEN}, has AS (SELECT DISTINCT topic, tops.term, study_id FROM tops JOIN w AS tf ON tf.term = tops.term),
+c AS (SELECT topic, term, count(*)::DOUBLE AS n FROM has GROUP BY 1, 2),
+b AS (SELECT x.topic, x.term AS w1, y.term AS w2, count(*)::DOUBLE AS n FROM has x JOIN has y ON x.topic = y.topic AND x.study_id = y.study_id AND x.term <> y.term GROUP BY 1, 2, 3),
+p AS (SELECT x.topic, x.term AS w1, y.term AS w2 FROM tops x JOIN tops y ON x.topic = y.topic AND x.rank < y.rank)
+SELECT p.topic, {R('avg(CASE WHEN b.n > 0 THEN ln(b.n * (SELECT count(*) FROM st) / (c1.n * c2.n)) ELSE 0 END)')} AS coherence
+FROM p LEFT JOIN b ON b.topic = p.topic AND b.w1 = p.w1 AND b.w2 = p.w2 JOIN c c1 ON c1.topic = p.topic AND c1.term = p.w1
+JOIN c c2 ON c2.topic = p.topic AND c2.term = p.w2 GROUP BY 1""")
+def given_topic_coherence(spark, folder):
+    texts, model = _given_topics(spark, folder)
+    return rounded(topics.coherence(texts, cut(topics.top_words(model))), "coherence")
+
+
+@query("given_vote_error", """WITH v AS (SELECT l_orderkey AS study_id, o_orderpriority[1] AS label, ((l_partkey + l_suppkey) % 5 + 1)::VARCHAR AS predicted
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey), c AS (SELECT study_id, label, predicted, count(*) AS n FROM v GROUP BY 1, 2, 3),
+b AS (SELECT study_id, label, predicted FROM c QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY n DESC, predicted) = 1)
+SELECT count(*) AS n, round(1 - avg((label = predicted)::INT), 6) + 0.0::DOUBLE AS oob_error FROM b""")
+def given_vote_error(spark, folder):
+    """The lines of an order vote for its priority."""
+    orders = tables.table(spark, folder, "orders").select(F.col("o_orderkey").alias("study_id"), F.substring("o_orderpriority", 1, 1).alias("label"))
+    votes = tables.table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("study_id"), (
+        (F.col("l_partkey") + F.col("l_suppkey")) % 5 + 1).cast("string").alias("predicted")).join(orders, "study_id")
+    return rounded(classify.vote_error(votes), "oob_error")
+
+
+_VECTORS = "v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"
+
+
+@query("given_vector_neighbours", f"""WITH {_VECTORS}, s AS (SELECT x.vec_id, y.vec_id AS other, round(list_cosine_similarity(x.v, y.v), 12) AS s FROM v x JOIN v y ON x.vec_id <> y.vec_id)
+SELECT vec_id, other, {R('s')} AS similarity, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, other)::INT AS rank FROM s QUALIFY rank <= 5""")
+def given_vector_neighbours(spark, folder):
+    vectors = tables.table(spark, folder, "embeddings").select(F.col("vec_id").alias("word"), F.col("embedding").cast("array<double>").alias("v"))
+    return rounded(factor.nearest_words(vectors).withColumnRenamed("word", "vec_id"), "similarity")
+
+
+@query("given_vector_clusters", f"""WITH {_VECTORS}, d AS (SELECT x.vec_id, c.vec_id AS center, list_sum(list_transform(list_zip(x.v, c.v), lambda p: (p[1] - p[2]) ** 2)) AS d
+  FROM v x JOIN v c ON c.vec_id < 5), n AS (SELECT vec_id, center FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, center) = 1)
+SELECT vec_id, center::INT AS cluster FROM n""")
+def given_vector_clusters(spark, folder):
+    """The vectors by the nearest of the first five."""
+    vectors = tables.table(spark, folder, "embeddings").select("vec_id", F.col("vec_id").alias("word"), F.col("embedding").cast("array<double>").alias("v"))
+    centers = [r["v"] for r in vectors.filter("vec_id < 5").orderBy("vec_id").collect()]
+    return factor.nearest_center(vectors, centers).select(F.col("word").alias("vec_id"), "cluster")
