@@ -64,7 +64,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
     key = ["id", "text_key"]
     spans = stored(marked.select(*key, chunks(filled("text"), window, divisor).alias("chunks")).filter(F.size("chunks") > 0).distinct())
     each = spans.select(*key, F.explode("chunks").alias("c"))
-    often = each.groupBy(F.col("c.hash").alias("hash")).agg(F.count("*").alias("n")).filter("n > 1").select("hash")
+    often = stored(each.groupBy(F.col("c.hash").alias("hash")).agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
     open_ = each.withColumn("hash", F.col("c.hash")).join(often, "hash").groupBy(*key).agg(F.collect_list("c").alias("open"))
     lines = F.split("text", "\n")
     texts = marked.select(*key, "text").join(open_, key).dropDuplicates(key).select(*key, let(lines, lambda ls: F.transform(
