@@ -118,6 +118,33 @@ def test_communities(make):
     assert q["modularity"] == pytest.approx(6 / 5 - 0.36 + 4 / 5 - 0.16)
 
 
+def greedy(themes, half, weight):
+    """One merge after the other: the pair with the largest gain, ties by name, while a gain is positive."""
+    m, label = len(half), {t: t for t in themes}
+    while True:
+        share, links = {}, {}
+        for a, b in half:
+            for t in (a, b):
+                share[label[t]] = share.get(label[t], 0) + 1 / (2 * m)
+            pair = tuple(sorted((label[a], label[b])))
+            if pair[0] != pair[1]:
+                links[pair] = links.get(pair, 0) + 1
+        gains = sorted((-round(weight * n / m - 2 * share[x] * share[y], 12), x, y) for (x, y), n in links.items())
+        if not gains or gains[0][0] >= -1e-12:
+            return label
+        _, x, y = gains[0]
+        label = {t: x if c == y else c for t, c in label.items()}
+
+
+@pytest.mark.parametrize("newman", [False, True])
+def test_communities_against_greedy_merges(make, newman):
+    ev = make({"A": ["s1", "s2"], "B": ["s1", "s3"], "C": ["s2", "s3", "s4"], "D": ["s4", "s5", "s6"], "E": ["s5", "s7"], "F": ["s6", "s7"], "G": ["s8"]},
+              [f"s{i}" for i in range(1, 9)])
+    edges = network.adjacency(network.theme_incidence(ev))
+    half = sorted({tuple(sorted((r["src"], r["dst"]))) for r in edges.collect()})
+    assert dict(rows(network.communities(ev.themes, edges, newman=newman))) == greedy("ABCDEFG", half, 1.0 if newman else 2.0)
+
+
 def test_formal_concepts_against_brute_force(make):
     assigned = {"A": ["s1", "s2"], "B": ["s2", "s3"], "C": ["s1", "s2", "s3"], "D": ["s4"]}
     ev = make(assigned, STUDIES)

@@ -136,8 +136,8 @@ def translation_type(spark, folder):
     return syn.matrix_verdict(syn.concept_stats(_user_cells(spark, folder)))
 
 
-@query("certify", f"""WITH {ORDERS} SELECT (SELECT count(*) FROM st) AS n_studies, (SELECT count(*) FROM th) AS n_themes,
-  0::BIGINT AS n_findings, 'PASS' AS certification""")
+@query("certify", f"""WITH {ORDERS}, n AS (SELECT (SELECT count(*) FROM st) AS n_studies, (SELECT count(*) FROM th) AS n_themes, 0::BIGINT AS n_findings)
+SELECT *, CASE WHEN n_studies < 2 THEN 'REJECT' WHEN n_themes = 0 AND n_findings = 0 THEN 'WARN' ELSE 'PASS' END AS certification FROM n""")
 def certify(spark, folder):
     return syn.certify(tables.orders_evidence(spark, folder))
 

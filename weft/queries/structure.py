@@ -90,7 +90,7 @@ def modularity(spark, folder):
 @query("communities")
 def communities(spark, folder):
     ev, edges = _graph(spark, folder)
-    return network.communities(ev.themes, edges, newman=True)
+    return network.communities(ev.themes, edges)
 
 
 # --- order --------------------------------------------------------------------
@@ -129,13 +129,18 @@ def order_ranks(spark, folder):
     return order.ranks(o, order.chains(o))
 
 
-@query("zeta_values", f"""WITH RECURSIVE {_SUBS}, n AS (SELECT count(*) AS n FROM el), r AS (SELECT rep, coalesce(max(k), 0) AS r FROM el LEFT JOIN ch ON y = rep GROUP BY rep)
+_BOUNDS = """up AS (SELECT p.x AS a, q.x AS b, p.y AS u FROM leq p JOIN leq q ON p.y = q.y WHERE p.x < q.x),
+least AS (SELECT a, b FROM up s WHERE NOT EXISTS (SELECT 1 FROM up o WHERE o.a = s.a AND o.b = s.b AND (s.u, o.u) NOT IN (SELECT x, y FROM leq))),
+down AS (SELECT p.y AS a, q.y AS b, p.x AS u FROM leq p JOIN leq q ON p.x = q.x WHERE p.y < q.y),
+greatest AS (SELECT a, b FROM down s WHERE NOT EXISTS (SELECT 1 FROM down o WHERE o.a = s.a AND o.b = s.b AND (o.u, s.u) NOT IN (SELECT x, y FROM leq)))"""
+
+
+@query("zeta_values", f"""WITH RECURSIVE {_SUBS}, {_BOUNDS}, n AS (SELECT count(*) AS n FROM el), r AS (SELECT rep, coalesce(max(k), 0) AS r FROM el LEFT JOIN ch ON y = rep GROUP BY rep)
 SELECT n AS zeta1, (SELECT count(*) FROM leq) AS zeta2, (SELECT count(*) FROM leq p JOIN leq q ON p.y = q.x) AS zeta3,
  (SELECT count(*) FROM lt) AS comparable_pairs, {R('(SELECT count(*) FROM lt) / (n * (n - 1) / 2.0::DOUBLE)')} AS density,
  (SELECT max(k) FROM ch)::BIGINT AS height, (SELECT max(c) FROM (SELECT count(*) AS c FROM r GROUP BY r.r)) AS width,
  (SELECT count(*) = 0 FROM el a JOIN el b ON a.rep < b.rep WHERE
-   NOT EXISTS (SELECT 1 FROM leq p JOIN leq q ON p.y = q.y WHERE p.x = a.rep AND q.x = b.rep)
-   OR NOT EXISTS (SELECT 1 FROM leq p JOIN leq q ON p.x = q.x WHERE p.y = a.rep AND q.y = b.rep)) AS is_lattice FROM n""")
+   (a.rep, b.rep) NOT IN (SELECT a, b FROM least) OR (a.rep, b.rep) NOT IN (SELECT a, b FROM greatest)) AS is_lattice FROM n""")
 def zeta_values(spark, folder):
     o = order.build_order(tables.customers_evidence(spark, folder))
     return order.order_summary(o, order.chains(o)).withColumn("density", r6("density"))
