@@ -199,7 +199,7 @@ def test_large_buckets_are_compared_by_blocks(spark):
     prints = list({rng.getrandbits(9) << 20 for _ in range(400)})
     df = spark.createDataFrame([(i, p) for i, p in enumerate(prints)], "doc_id bigint, print bigint")
     tables = df.select(F.col("print").alias("node"), F.explode(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint"))).alias("key"))
-    edges = buckets.linked(tables, simhash._ready, simhash.near_within(1), block=37).filter("node != root").selectExpr("node a", "root b")
+    edges = buckets.linked(tables, None, simhash._ready, simhash.near_within(1), block=37).filter("node != root").selectExpr("node a", "root b")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     ids = np.array(sorted(prints), np.uint64)
     comp = closed(np.bitwise_count(ids[:, None] ^ ids[None, :]) <= 1)

@@ -40,8 +40,9 @@ def _met(left: dict, right: dict | None, near: Callable) -> tuple[np.ndarray, np
     return node, links, label
 
 
-def _dealt(rows: DataFrame, compare: Callable, schema: str, block: int, group: int) -> DataFrame:
-    """compare(frame, across) per group of buckets; across: two blocks of one bucket, by _side."""
+def _dealt(rows: DataFrame, members: DataFrame | None, compare: Callable, schema: str, block: int, group: int) -> DataFrame:
+    """compare(frame, across) per group of buckets; across: two blocks of one bucket, by _side.
+    What ``members`` knows of a node is joined to the keys of its buckets with two or more only."""
     sizes = rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1")
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     groups = max(64, total // group)
@@ -52,6 +53,8 @@ def _dealt(rows: DataFrame, compare: Callable, schema: str, block: int, group: i
     met = met.withColumns({
         "_g": F.when(F.col("_m") == 1, F.pmod(F.xxhash64("key"), F.lit(groups))).otherwise(F.col("key")),
         "_i": F.least("_c", "_o"), "_j": F.greatest("_c", "_o"), "_side": (F.col("_c") > F.col("_o")).cast("int")}).drop("_n", "_c", "_o")
+    if members is not None:
+        met = met.join(members, "node")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["key", "_side", "node"], kind="stable")
@@ -65,10 +68,10 @@ def _segments(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return cuts, np.append(cuts[1:], len(frame))
 
 
-def linked(rows: DataFrame, prepare: Callable, near: Callable, block: int = BLOCK, group: int = 8192) -> DataFrame:
+def linked(rows: DataFrame, members: DataFrame | None, prepare: Callable, near: Callable, block: int = BLOCK, group: int = 8192) -> DataFrame:
     """node, links, root for the members of buckets with two or more.
 
-    rows: key (bucket), node and what ``prepare`` needs, distinct on (key, node).
+    rows: key (bucket), node, distinct; members: node and what else ``prepare`` needs, if anything.
     prepare(frame) makes a dict of arrays with ``node`` and ``weight`` among them, one item
     per member; near(a, b) takes two of them (or slices) and returns two boolean matrices:
     which pairs link, and which of them count."""
@@ -84,7 +87,7 @@ def linked(rows: DataFrame, prepare: Callable, near: Callable, block: int = BLOC
             out.append((node, links, named[label]))
         node, links, root = (np.concatenate(x) for x in zip(*out))
         return pd.DataFrame({"node": node, "links": links, "root": root})
-    return _dealt(rows, compare, "node bigint, links bigint, root bigint", block, group)
+    return _dealt(rows, members, compare, "node bigint, links bigint, root bigint", block, group)
 
 
 def _best_forest(weight: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -103,7 +106,7 @@ def _best_forest(weight: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def likeliest(rows: DataFrame, prepare: Callable, weigh: Callable, least: float, block: int = 1024, group: int = 8192) -> DataFrame:
+def likeliest(rows: DataFrame, members: DataFrame, prepare: Callable, weigh: Callable, least: float, block: int = 1024, group: int = 8192) -> DataFrame:
     """a, b (a > b), distinct: for each bucket a spanning forest of the pairs with the largest
     weights, among those of ``least`` or more: at most one pair per member and bucket.
     weigh(a, b, pairwise) gives the weights of equally long a and b, or of all pairs."""
@@ -125,4 +128,4 @@ def likeliest(rows: DataFrame, prepare: Callable, weigh: Callable, least: float,
                 right.append(own["node"][pairs[:, 1]])
         x, y = np.concatenate(left), np.concatenate(right)
         return pd.DataFrame({"a": np.maximum(x, y), "b": np.minimum(x, y)}).drop_duplicates()
-    return _dealt(rows, compare, "a bigint, b bigint", block, group).distinct()
+    return _dealt(rows, members, compare, "a bigint, b bigint", block, group).distinct()

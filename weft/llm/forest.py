@@ -17,12 +17,12 @@ from .common import components, stored
 
 #: The trees are fitted on this many vectors at most (fewer if their numbers pass SAMPLE_BYTES).
 SAMPLE, SAMPLE_BYTES = 20_000, 64 << 20
-TREES, LEAF = 8, 1000
+TREES, LEAF = 6, 2000
 #: A node keeps this many sampled vectors at least; below it leaves are halved by rule, see Leaf.
 LEAST = 16
 #: Half the width of the band whose vectors go to both sides, in standard deviations of the
 #: projected difference of two vectors at the threshold.
-SPILL = 1.0
+SPILL = 0.5
 EXTRA = 40
 
 
@@ -206,8 +206,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, seed: int = 11,
         forest[width] = fit(np.array(some, float), max(1, total * len(some) // len(picked)), threshold, seed, trees, leaf)
     keyed = stored(_cell_column(classes.select("node", "label", "unit", "copies"), forest).withColumn(
         "keys", F.transform("cells", lambda c: F.xxhash64("label", c))).drop("cells"))
-    places = keyed.select("node", "label", "unit", "copies", "keys", F.posexplode("keys").alias("place", "key"))
-    met = stored(linked(places, _ready, near_by_cosine(threshold), group=2048).groupBy("node", "root").agg(F.sum("links").alias("links")))
+    places = keyed.select("node", F.posexplode("keys").alias("place", "key"))
+    met = stored(linked(places, keyed, _ready, near_by_cosine(threshold), group=2048).groupBy("node", "root").agg(F.sum("links").alias("links")))
     links = met.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(met.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     placed = (classes.select("label", "v", "node", "least", "copies").join(roots, "node", "left").join(links, "node", "left")

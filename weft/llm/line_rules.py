@@ -97,8 +97,8 @@ def judged(docs: DataFrame, most_texts: int = MOST_TEXTS, most_share: float = MO
     once = first.select("row_id", "host", F.array_distinct(F.col("lines.key")).alias("keys")).join(
         texts.select("row_id"), "row_id", "left_semi")
     counts = once.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
-    often = counts.filter(F.col("n") > most_texts).join(n_texts, "host").filter(
-        F.col("n") > F.col("n_texts") * most_share).select("host", "key")
+    often = stored(counts.filter(F.col("n") > most_texts).join(n_texts, "host").filter(
+        F.col("n") > F.col("n_texts") * most_share).select("host", "key"))
     line = first.select("row_id", "host", F.explode("lines").alias("line")).select(
         "row_id", "host", F.col("line.key").alias("key"), F.col("line.words").alias("words"))
     hit = line.join(often, ["host", "key"]).groupBy("row_id").agg(

@@ -77,7 +77,7 @@ def grouped(prints: DataFrame, radius: int = 3) -> DataFrame:
     classes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("least")))
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("print").bitwiseAND(F.lit(signed(m)))) for t, m in enumerate(masks(radius))])
     tables = classes.select(F.col("print").alias("node"), F.explode(keys).alias("key"))
-    edges = linked(tables, _ready, near_within(radius)).filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    edges = linked(tables, None, _ready, near_within(radius)).filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = components(edges).withColumnRenamed("node", "print")
     placed = classes.join(roots, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     best = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -202,7 +202,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     open_ = nodes.select("node", "print", "sketch", F.col("node").alias("group"), F.array().cast("array<bigint>").alias("refused"))
     where = seen.select(F.col("row_id").alias("node"), "id", "text_key")
     while True:
-        found = likeliest(open_.withColumn("key", F.explode(keys)), _sketched, _estimates, LEAST - SLACK)
+        found = likeliest(open_.select("node", F.explode(keys).alias("key")), open_, _sketched, _estimates, LEAST - SLACK)
         found = stored(found)
         ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(where, "node")
         ends = ends.select("node", F.struct(F.col("id").isNull().alias("none"), "id").alias("i"), F.col("text_key").alias("k"))
