@@ -106,9 +106,11 @@ def _best_forest(weight: np.ndarray, least: float) -> list[tuple[int, int]]:
     return out
 
 
-def likeliest(rows: DataFrame, members: DataFrame, prepare: Callable, weigh: Callable, least: float, block: int = 1024, group: int = 8192) -> DataFrame:
+def likeliest(rows: DataFrame, members: DataFrame, prepare: Callable, weigh: Callable, least: float, best: int = 0,
+              block: int = 1024, group: int = 8192) -> DataFrame:
     """a, b (a > b), distinct: for each bucket a spanning forest of the pairs with the largest
-    weights, among those of ``least`` or more: at most one pair per member and bucket.
+    weights, among those of ``least`` or more, and the ``best`` partners of each member: at most
+    1 + ``best`` pairs per member and bucket.
     weigh(a, b, pairwise) gives the weights of equally long a and b, or of all pairs."""
     def compare(frame: pd.DataFrame, across: bool) -> pd.DataFrame:
         sides = frame["_side"].to_numpy()
@@ -124,6 +126,11 @@ def likeliest(rows: DataFrame, members: DataFrame, prepare: Callable, weigh: Cal
                 if across:
                     weight = np.where(sides[a:b][:, None] != sides[a:b][None, :], weight, -1.0)
                 pairs = np.array(_best_forest(weight, least), np.int64).reshape(-1, 2)
+                if best:
+                    top = np.argsort(-weight, axis=1, kind="stable")[:, :best]
+                    i = np.repeat(np.arange(b - a), top.shape[1])
+                    good = weight[i, top.ravel()] >= least
+                    pairs = np.vstack([pairs, np.column_stack([i, top.ravel()])[good]])
                 left.append(own["node"][pairs[:, 0]])
                 right.append(own["node"][pairs[:, 1]])
         x, y = np.concatenate(left), np.concatenate(right)

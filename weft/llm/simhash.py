@@ -103,6 +103,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3) -> DataFram
     return prints.join(grouped(prints, radius), "print").select("doc_id", "print", "component_id")
 
 
+#: From the second meeting on a node names this many partners in each bucket.
+AGAIN = 16
 #: The documents' own dedup: word shingles, least Jaccard similarity, bits that fingerprints may differ in,
 #: values of a sketch, and how far below ``LEAST`` a sketch may say and a pair is still measured.
 SHINGLE, LEAST, RADIUS, SKETCH, SLACK = 5, 0.8, 5, 128, 0.14
@@ -174,8 +176,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     are chains of links. Documents of equal words are one node. Nodes that meet under a mask
     are compared by sketches, and each bucket names a spanning forest of its most similar
     pairs; those are measured on their texts. Where a pair is refused, the rest of its bucket
-    may still link, so the affected nodes meet again without what is settled, until no new
-    pair turns up. So a group of n near copies costs about n measurements, not n squared.
+    may still link, so the affected nodes meet again without what is settled (each naming its
+    AGAIN most similar partners, for fewer meetings), until no new pair turns up. So a group of n near copies costs about n measurements, not n squared.
 
     Null and empty texts are one group. Rows of one doc_id and text are one document. Null ids
     come last. An empty table gives no rows; extra columns are kept."""
@@ -202,8 +204,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     open_ = nodes.select("node", "print", "sketch", F.col("node").alias("group"), F.array().cast("array<bigint>").alias("refused"))
     where = seen.select(F.col("row_id").alias("node"), "id", "text_key")
     while True:
-        found = likeliest(open_.select("node", F.explode(keys).alias("key")), open_, _sketched, _estimates, LEAST - SLACK)
-        found = stored(found)
+        found = stored(likeliest(open_.select("node", F.explode(keys).alias("key")), open_, _sketched, _estimates,
+                                 LEAST - SLACK, 0 if settled is None else AGAIN))
         ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(where, "node")
         ends = ends.select("node", F.struct(F.col("id").isNull().alias("none"), "id").alias("i"), F.col("text_key").alias("k"))
         texts = stored(named.select("i", "k", "t").join(ends, ["i", "k"]).select("node", "t").dropDuplicates(["node"]))
