@@ -72,7 +72,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
     met = stored(texts.select(*key, F.explode("found").alias("f")).select(
         *key, "f.c.pos", "f.c.start", "f.c.end", "f.c.hash", "f.bytes"))
     place = F.struct("id", "text_key", "pos")
-    firsts = met.groupBy("hash", "bytes").agg(F.min(place).alias("first"))
+    firsts = stored(met.groupBy("hash", "bytes").agg(F.min(place).alias("first")))
     later = met.join(firsts, ["hash", "bytes"]).filter(place != F.col("first"))
     gone = later.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gone"))
 
