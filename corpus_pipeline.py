@@ -13,8 +13,8 @@ from weft.llm.common import stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the rules and lines above the limits of their host."""
-    return line_rules.cleaned(docs)
+    """Drops documents that fail the rules and lines that over 30 texts of their host share."""
+    return line_rules.cleaned(docs, most_share=None)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

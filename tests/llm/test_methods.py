@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -12,9 +14,12 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weft.llm import buckets, chunk_dedup, forest, language, line_crf, line_rules, mixing, packing, secret_scan, sharding, simhash
-from weft.llm.common import components, table
-from weft.llm.queries import QUERIES
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+
+import corpus_pipeline  # noqa: E402
+from weft.llm import buckets, chunk_dedup, forest, language, line_crf, line_rules, mixing, packing, secret_scan, sharding, simhash  # noqa: E402
+from weft.llm.common import components, table  # noqa: E402
+from weft.llm.queries import QUERIES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -316,6 +321,13 @@ def test_line_rules_by_brute_force(spark):
     assert all("MORE" not in t for t in left.values())
 
 
+def test_count_limit_holds_in_a_large_host(spark):
+    rows = [f"{' '.join(f'u{i}x{k}' for k in range(60))}\n{'All rights reserved.' if i < 31 else f'own {i}'}\n{'Just below.' if i < 30 else f'too {i}'}" for i in range(1600)]
+    left = [r["text"] for r in corpus_pipeline.quality_rules(spark, texts(spark, rows), FOLDER).collect()]
+    assert len(left) == 1600 and not any("All rights" in t for t in left)
+    assert sum("Just below." in t for t in left) == 30
+
+
 # --- 6 shards, 7 mixing ------------------------------------------------------------------------
 
 def test_shards_match_the_mixture(spark):

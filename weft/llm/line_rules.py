@@ -10,7 +10,8 @@ from .common import WHITE, WORD, filled, let, stored, words_of
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
-#: A line may stand in this many different texts of a host, or in this share of them if that is more.
+#: A line may stand in this many different texts of a host, or in this share of them if that is more;
+#: no share (None): the count decides, whatever the size of the host.
 MOST_TEXTS, MOST_SHARE = 30, 0.02
 #: A document that keeps less than this share of its words is depleted.
 LEAST_LEFT = 0.5
@@ -57,15 +58,15 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("p"), F.xxhash64(F.lit(1), line).alias("q"))
 
 
-def judged(docs: DataFrame, most_texts: int = MOST_TEXTS, most_share: float = MOST_SHARE,
+def judged(docs: DataFrame, most_texts: int = MOST_TEXTS, most_share: float | None = MOST_SHARE,
            least_left: float = LEAST_LEFT, keep: bool = False) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     n_removed_words, kept for every row; with ``keep`` also ``row`` (the whole input row)
     and ``frequent`` (hash keys of its lines above the limit).
 
     A line is above the limit in a host (``source``) if it stands in more than ``most_texts``
-    different texts of that host and in more than ``most_share`` of them; copies of one text
-    count once. A document fails if it has too few or too many repeated words, or if its
+    different texts of that host and, with a share, in more than ``most_share`` of them; copies
+    of one text count once. The share lets the limit grow with the host; with None it does not. A document fails if it has too few or too many repeated words, or if its
     lines below the limits hold less than ``least_left`` of its words.
 
     A row goes through one pass over its text; what moves after that is 128 bits and a word
@@ -93,12 +94,14 @@ def judged(docs: DataFrame, most_texts: int = MOST_TEXTS, most_share: float = MO
     first = first.withColumn("base_failed", failed)
 
     texts = first.groupBy("host", "text_key").agg(F.min("row_id").alias("row_id"))
-    n_texts = texts.groupBy("host").agg(F.count("*").alias("n_texts"))
     once = first.select("row_id", "host", F.array_distinct(F.col("lines.key")).alias("keys")).join(
         texts.select("row_id"), "row_id", "left_semi")
     counts = once.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n"))
-    often = stored(counts.filter(F.col("n") > most_texts).join(n_texts, "host").filter(
-        F.col("n") > F.col("n_texts") * most_share).select("host", "key"))
+    often = counts.filter(F.col("n") > most_texts)
+    if most_share is not None:
+        n_texts = texts.groupBy("host").agg(F.count("*").alias("n_texts"))
+        often = often.join(n_texts, "host").filter(F.col("n") > F.col("n_texts") * most_share)
+    often = stored(often.select("host", "key"))
     line = first.select("row_id", "host", F.explode("lines").alias("line")).select(
         "row_id", "host", F.col("line.key").alias("key"), F.col("line.words").alias("words"))
     hit = line.join(often, ["host", "key"]).groupBy("row_id").agg(
