@@ -18,7 +18,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops chunks of lines that an earlier document has."""
+    """Drops runs of two or more lines, and long lines, that stood earlier."""
     return chunk_dedup.without_repeats(docs)
 
 

@@ -398,3 +398,29 @@ def test_chunks_by_brute_force(spark):
     got = {r["doc_id"]: r for r in chunk_dedup.deduplicated(texts(spark, rows)).collect()}
     assert {i: r["text"] for i, r in got.items()} == want
     assert sum(r["n_removed_lines"] for i, r in got.items() if i > 60) > 19 * 6
+
+
+def test_repeated_runs_go_whole(spark):
+    rng = random.Random(11)
+    passage = [f"passage {k} of a text that is shared" for k in range(9)]
+    long = " ".join(f"long{k}" for k in range(50))
+    pool = [f"line {i} has some words" for i in range(40)] + ["", "  "]
+    rows = ["\n".join(f"own {i} line {k}" for k in range(1 + i % 7)) for i in range(40)]
+    rows += rows + ["\n".join([f"before {i}", *passage, f"after {i}", long, f"end {i}"]) for i in range(30)]
+    rows += ["\n".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["a\n\nb", "x\na\nb\ny", "same\nsame\nsame"]
+    seen, want = set(), {}
+    for i, t in enumerate(rows):
+        lines = t.split("\n")
+        at, gone = [k for k, x in enumerate(lines) if WORD.search(x)], set()
+        found = list(zip(at, at[1:])) + [(k, k) for k in at if len(at) == 1 or len(WORD.findall(lines[k])) >= 50]
+        for a, b in sorted(found):
+            unit = (lines[a],) if a == b else (lines[a], lines[b])
+            gone |= set(range(a, b + 1)) if unit in seen else set()
+            seen.add(unit)
+        left = [x for k, x in enumerate(lines) if k not in gone]
+        want[i] = "\n".join(left) if not gone or any(WORD.search(x) for x in left) else ""
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_dedup(spark, texts(spark, rows), FOLDER).collect()}
+    assert got == want
+    assert all(got[i] == "" for i in range(40, 80))
+    assert all(got[i] == f"before {i - 80}\nafter {i - 80}\nend {i - 80}" for i in range(81, 110))
+    assert {x for t in rows for x in t.split("\n") if x.strip()} == {x for t in got.values() for x in t.split("\n") if x.strip()}

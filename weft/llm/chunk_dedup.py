@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks of lines."""
+"""Line dedup: by content-defined chunks of lines, and by every two lines that follow each other."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from .common import WORD, filled, let, stored
 #: A chunk ends after a line where the rolling hash of this many lines is 0 modulo DIVISOR.
 WINDOW, DIVISOR = 2, 3
 BASE = 31
+#: A line of this many words is compared by itself too.
+LONE = 50
 
 
 def line_hash(line: Column) -> Column:
@@ -45,9 +47,8 @@ def piece(lines: Column, span: Column) -> Column:
     return F.array_join(F.slice(lines, span["start"] + 1, span["end"] - span["start"]), "\n")
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR, keep: bool = False) -> DataFrame:
-    """doc_id, n_lines, n_removed_lines, removed (start:end of line spans), text; with
-    ``keep`` also ``row``, the whole input row.
+def deduplicated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR) -> DataFrame:
+    """doc_id, n_lines, n_removed_lines, removed (start:end of line spans), text.
 
     Of the chunks with equal bytes the one with the smallest (doc_id, place) stays, all later
     ones go. Chunks are first counted by hash; only those with a repeated hash get their
@@ -57,9 +58,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
 
     A null text has no lines and stays null. A null doc_id comes after all others. Rows with
     equal doc_id and text are one document and get the same result. A document may lose all
-    its lines (empty text). An empty table gives no rows; extra columns are kept in ``row``."""
-    whole = docs.select(*([F.struct("*").alias("row")] if keep else []), F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    marked = whole.withColumns({"id": F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")),
+    its lines (empty text). An empty table gives no rows; extra columns are not read."""
+    marked = docs.select("doc_id", "text").withColumns({"id": F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")),
                                 "text_key": F.xxhash64(filled("text"))})
     key = ["id", "text_key"]
     spans = stored(marked.select(*key, chunks(filled("text"), window, divisor).alias("chunks")).filter(F.size("chunks") > 0).distinct())
@@ -82,15 +82,75 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, divisor: int = DIVISOR,
     out = marked.join(gone, key, "left")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(let(lines, rest))
     return out.select(
-        *(["row"] if keep else []), "doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"),
+        "doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.aggregate("gone", F.lit(0), lambda a, g: a + g["end"] - g["start"]), F.lit(0)).cast("bigint").alias("n_removed_lines"),
         F.coalesce(F.array_join(F.transform("gone", lambda g: F.concat_ws(":", g["start"], g["end"])), ","), F.lit("")).alias("removed"),
         text.alias("text"))
 
 
-def without_repeats(docs: DataFrame, **method) -> DataFrame:
-    """``docs`` with the texts left after dedup; n_chars follows the text."""
-    row = F.col("row").withField("text", F.col("text"))
+def units(lines: Column, body) -> Column:
+    """Array of body(start, end) for what is compared in a text: every two word lines that follow
+    each other (blank lines between them do not count), every line of LONE words or more, and
+    the only word line of a text that has no other. Lines start to end - 1 are the unit."""
+    def of_places(at):
+        pairs = F.when(F.size(at) > 1, F.transform(F.sequence(F.lit(1), F.size(at) - 1), lambda k: F.struct(
+            F.get(at, k - 1).alias("start"), (F.get(at, k) + 1).alias("end"))))
+        alone = F.filter(at, lambda i: (F.size(at) == 1) | (F.regexp_count(F.get(lines, i), F.lit(WORD)) >= LONE))
+        return F.transform(F.concat(F.coalesce(pairs, F.array().cast("array<struct<start:int,end:int>>")), F.transform(
+            alone, lambda i: F.struct(i.alias("start"), (i + 1).alias("end")))), lambda u: body(u["start"], u["end"]))
+    return let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORD)), of_places)
+
+
+def _words_hash(lines: Column, start: Column, end: Column) -> Column:
+    first, last = F.get(lines, start), F.get(lines, end - 1)
+    return F.when(end - start == 1, F.xxhash64(first)).otherwise(F.xxhash64(first, last))
+
+
+def _digest(lines: Column, start: Column, end: Column) -> Column:
+    """SHA-256 of the unit's word lines: stands for their bytes."""
+    first, last = F.get(lines, start), F.get(lines, end - 1)
+    return F.unhex(F.sha2(F.when(end - start == 1, first).otherwise(F.concat(first, F.lit("\n"), last)).cast("binary"), 256))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with the texts left after dedup; n_chars follows the text.
+
+    Of equal ``units`` the one with the smallest (doc_id, place) stays and the lines of all
+    later ones go. So a run of two or more word lines that stood earlier goes whole, wherever it
+    begins and ends, and so does a line of LONE words or more; an exact copy is emptied. A
+    shorter line stays if neither the line before nor the one after it is repeated with it.
+    Each line that goes has an equal one at an earlier place, so one of them always stays.
+
+    Units are counted by 64 bits; only those with a repeated hash get their SHA-256, and that
+    decides. A unit that a third of all documents share is one pre-summed key, and a skewed
+    side of a join that Spark splits.
+
+    A null text stays null; a text without word lines stays as it is, one that loses all of
+    them is empty. A null doc_id comes after all others. Rows with equal doc_id and text are one
+    document and get the same result. An empty table gives no rows."""
+    marked = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")).alias("id"),
+                         F.xxhash64(filled("text")).alias("text_key"))
+    key, lines = ["id", "text_key"], F.split(filled("row.text"), "\n")
+    seen = stored(marked.select(*key, let(lines, lambda ls: units(ls, lambda s, e: _words_hash(ls, s, e))).alias("hashes"))
+                  .filter(F.size("hashes") > 0).dropDuplicates(key))
+    each = seen.select(*key, F.posexplode("hashes").alias("pos", "hash"))
+    often = stored(each.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
+    open_ = each.join(often, "hash").groupBy(*key).agg(F.collect_list("pos").alias("open"))
+    spans = let(F.split("text", "\n"), lambda ls: let(units(ls, lambda s, e: F.struct(s.alias("start"), e.alias("end"))), lambda us: F.transform(
+        "open", lambda p: let(F.get(us, p), lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end"), _digest(
+            ls, u["start"], u["end"]).alias("digest"))))))
+    met = stored(marked.select(*key, filled("row.text").alias("text")).join(open_, key).dropDuplicates(key).select(*key, F.explode(spans).alias("u")).select(*key, "u.*"))
+    place = F.struct("id", "text_key", "start", "end")
+    firsts = stored(met.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"))
+    gone = met.join(firsts, "digest").filter(place != F.col("first")).groupBy(*key).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("end") - 1))))).alias("gone"))
+
+    def rest(ls):
+        left = F.filter(ls, lambda x, i: ~F.array_contains("gone", i))
+        return let(left, lambda x: F.when(F.exists(x, lambda line: line.rlike(WORD)), F.array_join(x, "\n")).otherwise(""))
+    out = marked.join(gone, key, "left")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(let(lines, rest))
+    out = out.select(F.col("row").withField("text", text).alias("row"))
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return deduplicated(docs, keep=True, **method).select(row.alias("row")).select("row.*")
+        out = out.select(F.col("row").withField("n_chars", F.length("row.text").cast(docs.schema["n_chars"].dataType)).alias("row"))
+    return out.select("row.*")
