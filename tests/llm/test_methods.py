@@ -229,6 +229,17 @@ def test_one_of_each(spark):
     assert len(got) <= 1.15 * len(set(closed(similar >= 0.8).tolist()))
 
 
+def test_near_dedup_by_similarity_alone(spark):
+    rng = random.Random(12)
+    base = [[f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(60, 400))] for _ in range(30)]
+    rows = [" ".join(w) for w in base]
+    rows += [" ".join(varied(rng, rng.choice(base), rng.choice([0.0, 0.002, 0.005, 0.01, 0.03]))) for _ in range(170)]
+    sets = [set(simhash._shingles(t.encode().lower().split(), 5).tolist()) for t in rows]
+    similar = np.array([[len(a & b) / len(a | b) for b in sets] for a in sets])
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, texts(spark, rows), FOLDER).collect())
+    assert got == sorted(set(closed(similar >= 0.8).tolist()))
+
+
 # --- 4 quality, 8 language ---------------------------------------------------------------------
 
 def test_marginals_against_all_paths():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter
-from functools import cache
+from functools import cache, partial
 
 import numpy as np
 import pandas as pd
@@ -108,6 +108,9 @@ AGAIN = 16
 #: The documents' own dedup: word shingles, least Jaccard similarity, bits that fingerprints may differ in,
 #: values of a sketch, and how far below ``LEAST`` a sketch may say and a pair is still measured.
 SHINGLE, LEAST, RADIUS, SKETCH, SLACK = 5, 0.8, 5, 128, 0.14
+#: Values of the sketch in a band, and the bands of a sketch. Two sketches of similarity 0.8 differ in all bands
+#: with probability (1 - 0.8 ** BAND) ** BANDS = 5e-5.
+BAND, BANDS = 5, SKETCH // 5
 
 
 def _shingles(words: list[bytes], size: int) -> np.ndarray:
@@ -152,15 +155,15 @@ def _sketched(frame: pd.DataFrame) -> dict:
     return out | {"refused": refused}
 
 
-def _estimates(left: dict, right: dict, pairwise: bool) -> np.ndarray:
-    """Similarity by sketches; -1 for pairs of one group, refused pairs and far fingerprints."""
+def _estimates(left: dict, right: dict, pairwise: bool, radius: int = RADIUS) -> np.ndarray:
+    """Similarity by sketches; -1 for pairs of one group, refused pairs and fingerprints further apart than ``radius``."""
     if pairwise:
         same = (left["sketch"] == right["sketch"]).mean(axis=1)
-        off = (left["group"] == right["group"]) | (np.bitwise_count(left["bits"] ^ right["bits"]) > RADIUS)
+        off = (left["group"] == right["group"]) | (np.bitwise_count(left["bits"] ^ right["bits"]) > radius)
         off |= np.array([a in r for a, r in zip(left["node"], right["refused"])], bool)
     else:
         same = np.stack([(row == right["sketch"]).mean(axis=1) for row in left["sketch"]])
-        off = (left["group"][:, None] == right["group"][None, :]) | (np.bitwise_count(left["bits"][:, None] ^ right["bits"][None, :]) > RADIUS)
+        off = (left["group"][:, None] == right["group"][None, :]) | (np.bitwise_count(left["bits"][:, None] ^ right["bits"][None, :]) > radius)
         for i, r in enumerate(left["refused"]):
             if len(r):
                 off[i] |= np.isin(right["node"], r)
@@ -168,12 +171,19 @@ def _estimates(left: dict, right: dict, pairwise: bool) -> np.ndarray:
     return np.where(off, -1.0, (same - 1 / 256) / (1 - 1 / 256))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def _bands(sketch: Column) -> list[Column]:
+    """Hashes of BAND values of a sketch each; the sketch is binary."""
+    return [F.xxhash64(F.lit(-1 - b), F.substring(sketch, 1 + b * BAND, BAND)) for b in range(BANDS)]
+
+
+def one_of_each(docs: DataFrame, bands: bool = False) -> DataFrame:
     """The rows of ``docs`` without those whose group has a smaller doc_id: one row per group.
 
     Two documents are linked if the Jaccard similarity of their sets of 5-word shingles (A-Z in
     lower case) is 0.8 or more and their fingerprints differ in RADIUS bits at most; groups
-    are chains of links. Documents of equal words are one node. Nodes that meet under a mask
+    are chains of links. With ``bands`` the similarity alone decides: nodes also meet in bands of
+    their sketches, and fingerprints say only who meets, so a pair is missed with a probability
+    below 1e-4. Documents of equal words are one node. Nodes that meet under a mask
     are compared by sketches, and each bucket names a spanning forest of its most similar
     pairs; those are measured on their texts. Where a pair is refused, the rest of its bucket
     may still link, so the affected nodes meet again without what is settled (each naming its
@@ -197,14 +207,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     seen = stored(docs.select(*key, profiled(filled("text")).alias("p")).select("id", "text_key", "p.*").withColumn(
         "row_id", F.monotonically_increasing_id()))
     nodes = stored(seen.groupBy("same").agg(F.min("row_id").alias("node"), F.any_value("print").alias("print"), F.any_value("sketch").alias("sketch")))
-    keys = F.array(*[F.xxhash64(F.lit(t), F.col("print").bitwiseAND(F.lit(signed(m)))) for t, m in enumerate(masks(RADIUS))])
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("print").bitwiseAND(F.lit(signed(m)))) for t, m in enumerate(masks(RADIUS))],
+                   *(_bands(F.col("sketch")) if bands else []))
+    weigh = partial(_estimates, radius=BITS if bands else RADIUS)
     named = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")).alias("i"),
                         F.xxhash64(filled("text")).alias("k"), filled("text").alias("t"), F.struct("*").alias("row"))
     settled = None
     open_ = nodes.select("node", "print", "sketch", F.col("node").alias("group"), F.array().cast("array<bigint>").alias("refused"))
     where = seen.select(F.col("row_id").alias("node"), "id", "text_key")
     while True:
-        found = stored(likeliest(open_.select("node", F.explode(keys).alias("key")), open_, _sketched, _estimates,
+        found = stored(likeliest(open_.select("node", F.explode(keys).alias("key")), open_, _sketched, weigh,
                                  LEAST - SLACK, 0 if settled is None else AGAIN))
         ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(where, "node")
         ends = ends.select("node", F.struct(F.col("id").isNull().alias("none"), "id").alias("i"), F.col("text_key").alias("k"))
