@@ -163,6 +163,13 @@ def test_implications(make):
     assert rows(concepts.implications(ev)) == [(["A"], "B", 1)]
 
 
+def test_implications_of_any_size(make):
+    sets = {t: [f"s{k}" for k in range(6) if k != i] + ["s6"] for i, t in enumerate("ABCDE")} | {"F": ["s6"]}
+    got = rows(concepts.implications(make(sets, [f"s{k}" for k in range(7)]), max_size=None))
+    assert (["F"], "A", 1) in got and (list("BCDEF"), "A", 1) in got
+    assert max(len(a) for a, _, _ in got) == 5
+
+
 def test_influence_counts_match_edges(make):
     ev = make({"A": ["s1", "s2", "s4"], "B": ["s2", "s3", "s5"], "C": ["s1", "s5"]}, STUDIES,
               years={"s1": 2000, "s2": 2000, "s3": 2001, "s4": 2002, "s5": 2003})

@@ -172,6 +172,13 @@ def test_causal_claims(spark):
     assert rows(causal.causal_claims(df), "direction", "cause", "effect") == [("+", "Stress", "fatigue."), ("-", "Support", "stress.")]
 
 
+def test_causal_phrases_are_whole(spark):
+    far = "stress " + "and more " * 20 + "heat"
+    df = spark.createDataFrame([(1, 0, f"{far} leads to {far[::-1]}")], "study_id int, part int, text string")
+    assert rows(causal.causal_claims(df), "cause", "effect") == [(far, far[::-1])]
+    assert [len(x) for x in rows(causal.causal_claims(df, phrase_length=120), "cause", "effect")[0]] == [120, 120]
+
+
 def test_feedback_loops(spark):
     e = spark.createDataFrame([("A", "B", "+", 1), ("B", "A", "-", 1), ("B", "C", "-", 1), ("C", "A", "-", 1)],
                               "cause_theme string, effect_theme string, direction string, count int")

@@ -11,12 +11,14 @@ from ..plans.lineage import cut
 from ..sources.documents import Evidence
 from .sentiment import sentence_rows
 
+#: What the reference keeps of a phrase.
 PHRASE_LENGTH = 120
 
 
-def causal_claims(parts: DataFrame, patterns=CAUSAL_PATTERNS) -> DataFrame:
+def causal_claims(parts: DataFrame, patterns=CAUSAL_PATTERNS, phrase_length: int | None = None) -> DataFrame:
     """study_id, part, sent, pattern, direction, cause, effect: the first match of each
-    pattern in a sentence with text on both sides (at most 120 characters each)."""
+    pattern in a sentence with text on both sides: the whole phrases, or the ``phrase_length``
+    characters next to the match."""
     tries = []
     for i, (p, sign) in enumerate(patterns):
         rx = F.lit(f"(?iU){p}")
@@ -29,9 +31,10 @@ def causal_claims(parts: DataFrame, patterns=CAUSAL_PATTERNS) -> DataFrame:
                     F.explode(F.filter(F.array(*tries), lambda h: h.isNotNull())).alias("h")))
     before = strip_space(F.expr("substring(text, 1, h.at - 1)"))
     after = strip_space(F.expr("substring(text, h.at + h.len)"))
-    claims = hits.select("study_id", "part", "sent", "h.pattern", "h.direction",
-                         strip_space(F.right(before, F.lit(PHRASE_LENGTH))).alias("cause"),
-                         strip_space(F.left(after, F.lit(PHRASE_LENGTH))).alias("effect"))
+    if phrase_length is not None:
+        before = strip_space(F.right(before, F.lit(phrase_length)))
+        after = strip_space(F.left(after, F.lit(phrase_length)))
+    claims = hits.select("study_id", "part", "sent", "h.pattern", "h.direction", before.alias("cause"), after.alias("effect"))
     return claims.filter(~F.col("cause").isin("", "unknown") & ~F.col("effect").isin("", "unknown"))
 
 
@@ -111,8 +114,8 @@ def system_archetypes(edges: DataFrame, loops: DataFrame) -> DataFrame:
                                          lambda a: a.isNotNull())).alias("archetype"))
 
 
-def causal_report(ev: Evidence, parts: DataFrame, patterns=CAUSAL_PATTERNS) -> dict[str, DataFrame]:
-    claims = cut(claim_themes(ev, causal_claims(parts, patterns)))
+def causal_report(ev: Evidence, parts: DataFrame, patterns=CAUSAL_PATTERNS, phrase_length: int | None = None) -> dict[str, DataFrame]:
+    claims = cut(claim_themes(ev, causal_claims(parts, patterns, phrase_length)))
     edges = cut(causal_edges(ev, claims))
     loops = feedback_loops(edges)
     return {"claims": claims, "edges": edges, "matrix": edges.select("cause_theme", "effect_theme", "direction"),

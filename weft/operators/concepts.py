@@ -81,13 +81,15 @@ def concept_order(concepts: DataFrame) -> DataFrame:
     return inside.unionByName(above.select("x", "y"))
 
 
-def implications(ev: Evidence, max_size: int = 4) -> DataFrame:
+def implications(ev: Evidence, max_size: int | None = 4) -> DataFrame:
     """antecedent ARRAY, consequent, support: theme sets of at most ``max_size`` themes
-    whose studies all carry the consequent. Subsets are cut from the distinct theme
+    (None: of any size, two to the power of the largest theme set) whose studies all carry the consequent. Subsets are cut from the distinct theme
     sets, each with the number of studies that carry it."""
     sets = theme_sets(incidence(ev.theme_studies, ev.studies))
     grow = sets.select("themes", "n", F.array().cast("array<string>").alias("a"), F.lit(0).alias("next"))
     subsets = None
+    if max_size is None:
+        max_size = max(1, sets.agg(F.max(F.size("themes"))).first()[0] or 1)
     for _ in range(max_size):
         grow = (grow.filter(F.col("next") < F.size("themes"))
                 .select("themes", "n", "a", "next", F.posexplode(

@@ -191,7 +191,7 @@ e AS (SELECT cause_theme, effect_theme, arg_max(direction, (study_id, part, sent
 
 
 def _claims(spark, folder):
-    return causal.causal_claims(tables.document_parts(spark, folder), PATTERNS)
+    return causal.causal_claims(tables.document_parts(spark, folder), PATTERNS, causal.PHRASE_LENGTH)
 
 
 def _edges(spark, folder):
