@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_dedup, forest, language, line_crf, line_rules, mixing, packing, secret_scan, sharding, simhash, sql
+from . import (alignment, chunk_dedup, forest, language, line_crf, line_rules, mixing, packing, secret_scan, sharding,
+               simhash, sql)
 from .common import table
 
 QUERIES: dict = {}
@@ -98,3 +99,9 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     field = line_crf.learned(docs.filter(~out), table(spark, folder, "labels").filter(~out))
     return line_crf.scored(docs, field).select(
         "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op11_alignment")
+def tokens_aligned(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of two tokenizers' tokens over the same bytes, and the corpus counts of the linked ids."""
+    return alignment.alignment(table(spark, folder, "documents"))
