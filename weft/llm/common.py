@@ -35,10 +35,34 @@ def words_of(text: Column) -> Column:
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet below the shared checkpoint folder and read back: later jobs
     start from the files, so a lost executor costs no recomputation of what came before."""
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table that ``stored`` gives, and its folder, for ``removed``."""
     spark = df.sparkSession
     folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a table of ``stored_at`` that no later job reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def salted_join(rows: DataFrame, one: DataFrame, keys: list[str], share: int = 1024) -> DataFrame:
+    """rows joined with ``one``, which has one row per key. A key with more than 1 / ``share`` of the
+    rows is dealt over salts, so no task gets more than that of one key; there are at most
+    2 ``share`` such keys, and only they are broadcast. ``rows`` is read twice: store it before."""
+    limit = max(rows.count() // share, 1)
+    hot = F.broadcast(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(
+        *keys, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = rows.join(hot, keys, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int"))
+    copies = one.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return dealt.drop("_salts").join(copies.drop("_salts"), [*keys, "_salt"]).drop("_salt")
 
 
 def ranked(df: DataFrame, order: list, name: str) -> DataFrame:

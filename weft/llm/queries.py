@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (alignment, chunk_dedup, forest, language, line_crf, line_rules, mixing, packing, secret_scan, sharding,
-               simhash, sql)
+from . import (alignment, chunk_dedup, collocation, forest, language, line_crf, line_rules, mixing, packing, secret_scan,
+               sharding, simhash, sql, substring_dedup)
 from .common import table
 
 QUERIES: dict = {}
@@ -105,3 +105,15 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
 def tokens_aligned(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of two tokenizers' tokens over the same bytes, and the corpus counts of the linked ids."""
     return alignment.alignment(table(spark, folder, "documents"))
+
+
+@query("op12_collocations", sql.COLLOCATIONS)
+def phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The best 2,000 collocations of every language."""
+    return collocation.collocations(table(spark, folder, "documents"))
+
+
+@query("op13_substring_dedup", sql.SUBSTRINGS)
+def substrings_removed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the passages of 50 words and more that an earlier one has."""
+    return substring_dedup.deduplicated(table(spark, folder, "documents"))

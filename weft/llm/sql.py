@@ -122,3 +122,55 @@ stay AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM number
 SELECT d.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(per.n, 0)::BIGINT AS n_removed_lines, coalesce(removed, '') AS removed,
     CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(stay.text, '') END AS text
 FROM docs d LEFT JOIN per USING (doc_id) LEFT JOIN stay USING (doc_id)"""
+
+#: Pieces and words, counts of all phrases of one to five words, candidates with their cuts, and the rank.
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS MATERIALIZED (
+  SELECT lang, ws FROM (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces)
+  WHERE len(ws) > 0),
+places AS (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS k)),
+counts AS MATERIALIZED (
+  SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL),
+sizes AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+often AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS ws, f FROM counts WHERE f >= 100),
+inner_parts AS (
+  SELECT lang, array_to_string(ws[1:k - 1], ' ') AS phrase, f FROM often WHERE k > 2
+  UNION ALL SELECT lang, array_to_string(ws[2:k], ' '), f FROM often WHERE k > 2),
+inside AS (SELECT lang, phrase, max(f) AS longer FROM inner_parts GROUP BY ALL),
+kept AS (
+  SELECT o.* FROM often o LEFT JOIN inside USING (lang, phrase) WHERE k > 1 AND (longer IS NULL OR longer < f)),
+cuts AS (SELECT *, unnest(range(1, k)) AS j FROM kept),
+scored AS (
+  SELECT c.lang, c.phrase, c.f AS a, x.f AS l, y.f AS r, s.n, c.j,
+    (1000::HUGEINT * c.f * s.n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN sizes s USING (lang)
+  JOIN often x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.j], ' ')
+  JOIN often y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.j + 1:c.k], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+listed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM listed WHERE rank <= 2000
+"""
+
+#: All windows of 50 words by MD5, the smallest id of each, and the words that later ones cover.
+SUBSTRINGS = r"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS ws FROM documents),
+starts AS (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50),
+windows AS MATERIALIZED (SELECT rid, doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM starts),
+firsts AS (SELECT h, min(doc_id) AS f FROM windows GROUP BY h),
+later AS (SELECT rid, i, i AS start FROM windows JOIN firsts USING (h) WHERE f < doc_id),
+word AS (SELECT rid, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+marked AS (SELECT rid, i, w, max(start) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM word LEFT JOIN later USING (rid, i)),
+stretches AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY i), false) AS opens FROM marked),
+texts AS (SELECT rid, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_factors,
+  string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM stretches GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_factors, 0)::BIGINT AS n_factors,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN texts USING (rid)
+"""
