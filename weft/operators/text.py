@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import let, safe_div, tokenise
 from ..functions.lexicons import STOPWORDS
-from ..plans.blocks import paired_within
+from ..plans.blocks import BLOCK, paired_within
 from ..plans.components import connected_components
 from ..plans.lineage import cut
 from ..plans.pairs import top_k
@@ -137,14 +137,34 @@ def similar_pairs(texts: DataFrame, threshold: float = 0.3, slack: float = 0.5)
     return _finish(met, rows, threshold)
 
 
+def _member_pairs(pairs: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """a < b, w_a, w_b, rest_a, rest_b per term that a study of one component of a pair (a, b) shares
+    with a study of the other. The members of a (term, component) are cut into blocks, so no
+    task meets more than block x block studies of a term."""
+    sizes = members.groupBy("term", "component").agg(F.ceil(F.count("*") / block).cast("int").alias("m"))
+    cells = (pairs.join(sizes.toDF("term", "a", "ma"), "a").join(sizes.toDF("term", "b", "mb"), ["b", "term"])
+             .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ma") - 1)))
+             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).select("term", "a", "i", "b", "j"))
+    dealt = cut(members.join(sizes, ["term", "component"]).withColumn(
+        "i", F.pmod(F.xxhash64("study_id"), F.col("m").cast("bigint")).cast("int")).drop("m"))
+    left = dealt.select("term", F.col("component").alias("a"), "i", F.col("study_id").alias("x"), F.col("w").alias("wx"), F.col("rest").alias("rx"))
+    right = dealt.select("term", F.col("component").alias("b"), F.col("i").alias("j"), F.col("study_id").alias("y"), F.col("w").alias("wy"), F.col("rest").alias("ry"))
+    met = cells.join(left, ["term", "a", "i"]).join(right, ["term", "b", "j"])
+    up = F.col("x") < F.col("y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(up, F.col("wx")).otherwise(F.col("wy")).alias("w_a"),
+                      F.when(up, F.col("wy")).otherwise(F.col("wx")).alias("w_b"), F.col("rx").alias("rest_a"), F.col("ry").alias("rest_b"))
+
+
 def study_clusters(texts: DataFrame, threshold: float = 0.3, slack: float = 0.5, spokes: int = 8) -> DataFrame:
     """study_id, cluster: single linkage over similarity above the threshold; the cluster
     is its smallest study id.
 
     Near copies may be a third of all studies, so their pairs are never listed. First
     every study is compared with the first study of each of its ``spokes`` rarest shared
-    terms, and linked groups collapse to components. Then only studies of different
-    components that share a kept term are compared, which makes the result exact."""
+    terms, and linked groups collapse to components. Of each component and kept term only
+    the largest weight goes on: no pair of members can be more similar than these weights
+    allow, so most pairs of components end there. Only for the others do members meet, which
+    makes the result exact."""
     copy_of = cut(copies(texts))
     rows = cut(prefix_split(unit_vectors(texts, copy_of), threshold, slack))
     nodes = copy_of.select(F.col("rep").alias("study_id")).distinct()
@@ -153,22 +173,18 @@ def study_clusters(texts: DataFrame, threshold: float = 0.3, slack: float = 0.5,
     near_terms = top_k(kept.filter("df > 1").select("study_id", "term", "place"), ["study_id"], [F.asc("place")], spokes)
     first = near_terms.groupBy("term").agg(F.min("study_id").alias("a"))
     pairs = near_terms.join(first, "term").select("a", F.col("study_id").alias("b")).filter("a < b").distinct()
-    links = exact_similarity(pairs, rows).filter(F.col("similarity") > threshold)
-    near = cut(connected_components(nodes, links.select("a", "b"), "study_id"))
+    links = cut(exact_similarity(pairs, rows).filter(F.col("similarity") > threshold).select("a", "b"))
+    near = cut(connected_components(nodes, links, "study_id"))
 
     members = cut(kept.select("study_id", "term", "w", "rest").join(near, "study_id"))
-    groups = members.select("term", "component").distinct()
-    met = paired_within(groups, "term", "component").withColumnsRenamed({"a": "ca", "b": "cb"})
-    sides = [members.select("term", F.col("component").alias(f"c{x}"), F.col("study_id").alias(x), F.col("w").alias(f"w_{x}"),
-                            F.col("rest").alias(f"rest_{x}")) for x in ("a", "b")]
-    across = met.join(sides[0], ["term", "ca"]).join(sides[1], ["term", "cb"])
-    up = F.col("a") < F.col("b")
-    ordered = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
-                            F.when(up, F.col("w_a")).otherwise(F.col("w_b")).alias("w_a"),
-                            F.when(up, F.col("w_b")).otherwise(F.col("w_a")).alias("w_b"), "rest_a", "rest_b")
-    bridges = _finish(ordered, rows, threshold)
-    ends = (bridges.select("a", "b").join(near.toDF("a", "ca"), "a").join(near.toDF("b", "cb"), "b")
-            .select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    groups = members.groupBy("term", "component").agg(F.max("w").alias("w"), F.max("rest").alias("rest"), F.max(-F.col("w")).alias("low"))
+    groups = cut(groups.select("term", "component", F.greatest("w", "low").alias("w"), "rest"))
+    bound = paired_within(groups, "term", "component", ["w", "rest"]).groupBy("a", "b").agg(
+        F.sum(F.col("w_a") * F.col("w_b")).alias("most"), F.max(F.greatest("rest_a", "rest_b")).alias("rest"))
+    open_ = cut(bound.filter(F.col("most") + F.col("rest") > threshold - MARGIN).select("a", "b"))
+    bridges = _finish(_member_pairs(open_, members), rows, threshold)
+    ends = cut(bridges.select("a", "b").join(near.toDF("a", "ca"), "a").join(near.toDF("b", "cb"), "b")
+               .select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     merged = connected_components(near.select("component").distinct(), ends, "component").toDF("component", "root")
     return (copy_of.join(near.withColumnRenamed("study_id", "rep"), "rep").join(merged, "component")
             .select("study_id", F.col("root").alias("cluster")))
