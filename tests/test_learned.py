@@ -47,24 +47,94 @@ def test_topics_are_distributions(texts):
 
 def training(spark, texts):
     labels = texts.select("study_id", F.concat(F.lit("L"), (F.substring("study_id", 2, 2).cast("int") % 3).cast("string")).alias("label"))
-    return classify.training_rows(texts, labels, classify.top_features(texts))
+    features = classify.top_features(texts)
+    return classify.feature_values(texts, features).cache(), labels, features.cache()
 
 
 def test_trees_learn_what_separates(spark, texts):
-    made, terms = training(spark, texts)
-    said = classify.tree_predictions(made).collect()
+    made = training(spark, texts)
+    said = classify.tree_predictions(*made).collect()
     assert len(said) == 30 and all(r["label"] == r["predicted"] for r in said)
-    weights = classify.forest_importance(made, terms).collect()
-    assert all(a["importance"] >= b["importance"] >= 0 for a, b in zip(weights, weights[1:]))
-    assert one(classify.fold_accuracy(made))["accuracy"] > 0.8
+    weights = classify.forest_importance(*made).collect()
+    assert weights and all(a["importance"] >= b["importance"] >= 0 for a, b in zip(weights, weights[1:]))
+    accuracy = one(classify.fold_accuracy(*made))
+    assert accuracy["n"] == 30 and accuracy["accuracy"] > 0.8
 
 
 def test_absent_labels_are_errors(spark, texts):
-    made, _ = training(spark, texts)
-    lone = made.withColumn("label", F.when(F.col("study_id") == "S00", "only").otherwise(F.lit("rest")))
-    assert 0.5 < one(classify.fold_accuracy(lone))["accuracy"] <= 29 / 30
-    error = one(classify.out_of_bag_error(lone, trees=6))
-    assert error["n"] >= 29
+    values, labels, features = training(spark, texts)
+    lone = labels.withColumn("label", F.when(F.col("study_id") == "S00", "only").otherwise(F.lit("rest")))
+    folds = one(classify.fold_accuracy(values, lone, features))
+    assert folds["n"] == 30 and folds["accuracy"] <= 29 / 30
+    drawn = {(r["tree"], r["study_id"]): r["draws"] for r in classify.forest(values, lone, features, trees=6)[0].collect()}
+    voted = {s for (_, s), d in drawn.items() if d == 0}
+    error = one(classify.out_of_bag_error(values, lone, features, trees=6))
+    assert len(drawn) == 180 and error["n"] == len(voted)
+    assert "S00" not in voted or error["oob_error"] >= 1 / len(voted) - 1e-12
+
+
+def by_recursion(values, samples, features, depth=0):
+    """A tree as nested tuples; samples: (study, label, draws), values: {(study, term): value}."""
+    counts = {}
+    for _, label, d in samples:
+        counts[label] = counts.get(label, 0) + d
+    most = min(counts, key=lambda x: (-counts[x], x))
+
+    def bits(rows):
+        n, per = sum(d for *_, d in rows), {}
+        for _, label, d in rows:
+            per[label] = per.get(label, 0) + d
+        return -sum(c / n * np.log2(c / n) for c in per.values())
+    n = sum(counts.values())
+    best = None
+    if len(counts) > 1 and depth < classify.DEPTH and n >= classify.LEAST:
+        for term in sorted(features):
+            spread = sorted(values.get((s, term), 0.0) for s, _, d in samples for _ in range(d))
+            low = [x for x in samples if values.get((x[0], term), 0.0) <= spread[n // 2]]
+            high = [x for x in samples if values.get((x[0], term), 0.0) > spread[n // 2]]
+            if low and high:
+                gain = bits(samples) - sum(sum(d for *_, d in x) / n * bits(x) for x in (low, high))
+                if round(gain, 12) > 0 and (best is None or round(gain, 12) > round(best[0], 12)):
+                    best = gain, term, spread[n // 2], low, high
+    if best is None:
+        return most
+    _, term, threshold, low, high = best
+    rest = [f for f in features if f != term]
+    return term, threshold, by_recursion(values, low, rest, depth + 1), by_recursion(values, high, rest, depth + 1)
+
+
+def said_by(tree, values, study):
+    while isinstance(tree, tuple):
+        tree = tree[3] if values.get((study, tree[0]), 0.0) > tree[1] else tree[2]
+    return tree
+
+
+def test_trees_against_recursion(spark):
+    rng = np.random.default_rng(3)
+    studies, terms = [f"S{i:03d}" for i in range(80)], [f"t{i}" for i in range(9)]
+    cells = {(s, t): round(float(rng.choice([0.1, 0.2, -0.3, 0.7])), 12) for s in studies for t in terms if rng.random() < 0.6}
+    label = {s: str(rng.choice(["x", "y", "z"])) if cells.get((s, "t3"), 0) < 0.5 else "x" for s in studies}
+    values = spark.createDataFrame([(s, t, v) for (s, t), v in cells.items()], "study_id string, term string, value double")
+    labels = spark.createDataFrame(list(label.items()), "study_id string, label string")
+    features = spark.createDataFrame([(t,) for t in terms], "term string")
+    tree = by_recursion(cells, [(s, label[s], 1) for s in studies], terms)
+    assert isinstance(tree, tuple) and isinstance(tree[2], tuple)
+    got = {r["study_id"]: r["predicted"] for r in classify.tree_predictions(values, labels, features).collect()}
+    assert got == {s: said_by(tree, cells, s) for s in studies}
+    said, splits = classify.forest(values, labels, features, trees=4)
+    drawn, used = {}, {}
+    for r in said.collect():
+        drawn.setdefault(r["tree"], []).append((r["study_id"], r["draws"], r["predicted"]))
+    for r in splits.collect():
+        used.setdefault(r["tree"], set()).add(r["term"])
+    assert all(len(x) <= 3 for x in used.values())
+    whole = classify.grow(values, said.drop("predicted"), spark.createDataFrame([(i, t) for i in range(4) for t in terms], "tree int, term string"))[0]
+    for r in whole.collect():
+        drawn.setdefault((r["tree"], "all"), {})[r["study_id"]] = r["predicted"]
+    for t in range(4):
+        bag = [(s, label[s], d) for s, d, _ in drawn[t] if d > 0]
+        tree = by_recursion(cells, bag, terms)
+        assert drawn[t, "all"] == {s: said_by(tree, cells, s) for s in studies}
 
 
 def test_votes(spark):

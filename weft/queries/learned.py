@@ -92,28 +92,77 @@ def split_gain(spark, folder):
 def _training(spark, folder):
     texts = tables.document_texts(spark, folder)
     features = cut(classify.top_features(texts))
-    rows, terms = classify.training_rows(texts, classify.first_claim_labels(tables.documents_evidence(spark, folder)), features)
-    return cut(rows), terms
-
-
-@query("tree_predictions")
+    return cut(classify.feature_values(texts, features)), cut(classify.first_claim_labels(tables.documents_evidence(spark, folder))), features
+
+
+def _unit(*parts):
+    """SQL of a number in [0, 1) from the MD5 of parts joined by |."""
+    return f"('0x' || substr(md5({" || '|' || ".join(parts)}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+def _grown(samples: str, features: str, depth: int = classify.DEPTH) -> str:
+    """SQL tables of trees grown by levels: a{k} (places), best{k} (splits), said, splits."""
+    out = [f"""val AS MATERIALIZED (SELECT w.study_id, w.term, round(weight, 12) AS v FROM w JOIN ft ON ft.term = w.term),
+feat AS MATERIALIZED ({features}), a0 AS MATERIALIZED (SELECT tree, study_id, label, draws, 1 AS node FROM ({samples})),
+path0 AS (SELECT 0 AS tree, 0 AS node, '' AS term WHERE false)"""]
+    for k in range(depth):
+        out.append(f"""open{k} AS (SELECT tree, node, sum(draws) AS total FROM a{k} WHERE draws > 0 AND node >= {1 << k} GROUP BY 1, 2 HAVING count(DISTINCT label) > 1 AND sum(draws) >= {classify.LEAST}),
+cell{k} AS MATERIALIZED (SELECT a.tree, a.node, f.term, a.label, coalesce(val.v, 0) AS v, sum(draws) AS c, any_value(total) AS total FROM a{k} a JOIN open{k} o ON o.tree = a.tree AND o.node = a.node
+  JOIN feat f ON f.tree = a.tree LEFT JOIN val ON val.study_id = a.study_id AND val.term = f.term WHERE draws > 0
+  AND NOT EXISTS (SELECT 1 FROM path{k} p WHERE p.tree = a.tree AND p.node = a.node AND p.term = f.term) GROUP BY 1, 2, 3, 4, 5),
+upto{k} AS (SELECT tree, node, term, v, total, sum(sum(c)) OVER (PARTITION BY tree, node, term ORDER BY v) AS upto FROM cell{k} GROUP BY 1, 2, 3, 4, 5),
+med{k} AS (SELECT tree, node, term, min(v) AS threshold FROM upto{k} WHERE upto > total // 2 GROUP BY 1, 2, 3),
+side{k} AS (SELECT c.tree, c.node, c.term, threshold, label, coalesce(sum(c) FILTER (v <= threshold), 0)::DOUBLE AS l, coalesce(sum(c) FILTER (v > threshold), 0)::DOUBLE AS r, sum(c)::DOUBLE AS n
+  FROM cell{k} c JOIN med{k} m ON m.tree = c.tree AND m.node = c.node AND m.term = c.term GROUP BY 1, 2, 3, 4, 5),
+sum{k} AS (SELECT tree, node, term, threshold, sum(l) AS nl, sum(CASE WHEN l > 0 THEN l * log2(l) ELSE 0 END) AS tl, sum(r) AS nr, sum(CASE WHEN r > 0 THEN r * log2(r) ELSE 0 END) AS tr,
+  sum(n) AS n, sum(n * log2(n)) AS t FROM side{k} GROUP BY 1, 2, 3, 4),
+gain{k} AS (SELECT *, {_h('n', 't')} - (nl * {_h('nl', 'tl')} + nr * {_h('nr', 'tr')}) / n AS gain FROM sum{k} WHERE nl > 0 AND nr > 0),
+best{k} AS MATERIALIZED (SELECT tree, node, term, threshold, gain, n FROM gain{k} WHERE round(gain, 12) > 0
+  QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY round(gain, 12) DESC, term) = 1),
+a{k + 1} AS MATERIALIZED (SELECT a.tree, a.study_id, a.label, a.draws, CASE WHEN b.term IS NULL THEN a.node ELSE 2 * a.node + (coalesce(val.v, 0) > b.threshold)::INT END AS node
+  FROM a{k} a LEFT JOIN best{k} b ON b.tree = a.tree AND b.node = a.node LEFT JOIN val ON val.study_id = a.study_id AND val.term = b.term),
+path{k + 1} AS MATERIALIZED (SELECT tree, unnest([2 * node, 2 * node + 1]) AS node, term FROM (SELECT tree, node, term FROM best{k}
+  UNION ALL SELECT p.tree, p.node, p.term FROM path{k} p JOIN best{k} b ON b.tree = p.tree AND b.node = p.node))""")
+    out.append(f"""leaf AS (SELECT tree, node, label AS predicted FROM (SELECT tree, node, label, sum(draws) AS n FROM a{depth} WHERE draws > 0 GROUP BY 1, 2, 3)
+  QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY n DESC, label) = 1),
+said AS MATERIALIZED (SELECT a.tree, a.study_id, a.label, a.draws, predicted FROM a{depth} a LEFT JOIN leaf ON leaf.tree = a.tree AND leaf.node = a.node),
+splits AS ({" UNION ALL ".join(f"SELECT * FROM best{k}" for k in range(depth))})""")
+    return f"WITH {_FEAT}, " + ",\n".join(out)
+
+
+_DRAWN = " + ".join(f"(u >= {x!r}::DOUBLE)::INT" for x in classify.poisson_limits())
+_FOREST = _grown(
+    f"SELECT tree, study_id, label, {_DRAWN} AS draws FROM (SELECT *, {_unit("'42'", 'tree', 'study_id')} AS u FROM lb, (SELECT unnest(range(10)) AS tree))",
+    f"""SELECT tree, term FROM (SELECT tree, term, row_number() OVER (PARTITION BY tree ORDER BY {_unit("'42'", 'tree', 'term')}, term) AS place
+  FROM ft, (SELECT unnest(range(10)) AS tree)) WHERE place <= floor(sqrt((SELECT count(*) FROM ft)))""")
+
+
+@query("tree_predictions", _grown("SELECT 0 AS tree, study_id, label, 1 AS draws FROM lb", "SELECT 0 AS tree, term FROM ft")
+       + " SELECT study_id, label, predicted FROM said")
 def tree_predictions(spark, folder):
-    return classify.tree_predictions(_training(spark, folder)[0])
+    return classify.tree_predictions(*_training(spark, folder))
 
 
-@query("forest_importance")
+@query("forest_importance", _FOREST + f""", bag AS (SELECT tree, sum(draws) AS bag FROM said GROUP BY 1),
+s AS (SELECT term, sum(gain * n / bag) / 10 AS importance FROM splits JOIN bag ON bag.tree = splits.tree GROUP BY 1)
+SELECT term, {R('importance')} AS importance FROM s ORDER BY round(s.importance, 12) DESC, term LIMIT 10""")
 def forest_importance(spark, folder):
-    return classify.forest_importance(*_training(spark, folder))
+    return rounded(classify.forest_importance(*_training(spark, folder)), "importance")
 
 
-@query("out_of_bag_error")
+@query("out_of_bag_error", _FOREST + f""", c AS (SELECT study_id, label, predicted, count(*) AS n FROM said WHERE draws = 0 GROUP BY 1, 2, 3),
+b AS (SELECT study_id, label, predicted FROM c QUALIFY row_number() OVER (PARTITION BY study_id ORDER BY n DESC, predicted) = 1)
+SELECT count(*) AS n, {R('1 - avg((label = predicted)::INT)')} AS oob_error FROM b""")
 def out_of_bag_error(spark, folder):
-    return classify.out_of_bag_error(_training(spark, folder)[0])
+    return rounded(classify.out_of_bag_error(*_training(spark, folder)), "oob_error")
 
 
-@query("fold_accuracy")
+@query("fold_accuracy", _grown(
+    f"SELECT tree, study_id, label, (floor({_unit("'42'", 'study_id')} * 5) <> tree)::INT AS draws FROM lb, (SELECT unnest(range(5)) AS tree)",
+    "SELECT tree, term FROM ft, (SELECT unnest(range(5)) AS tree)")
+       + f" SELECT count(*) AS n, {R('avg(coalesce(label = predicted, false)::INT)')} AS accuracy FROM said WHERE draws = 0")
 def fold_accuracy(spark, folder):
-    return classify.fold_accuracy(_training(spark, folder)[0])
+    return rounded(classify.fold_accuracy(*_training(spark, folder)), "accuracy")
 
 
 # --- factors and topics -------------------------------------------------------
@@ -158,10 +207,10 @@ def topic_scores(spark, folder):
 
 # --- measures of given models: what a fit is judged by, over models made from the tables ---
 
-_GIVEN = f"""{DOCS}, {_TOK}, mw AS (SELECT k % 3 AS topic, term, sum(tf.tf)::DOUBLE AS n FROM w AS tf JOIN src ON src.doc_id = tf.study_id GROUP BY 1, 2),
-words AS (SELECT topic, term, n / sum(n) OVER (PARTITION BY topic) AS weight FROM mw),
+_GIVEN = f"""{DOCS}, {_TOK}, mw AS MATERIALIZED (SELECT k % 3 AS topic, term, sum(tf.tf)::DOUBLE AS n FROM w AS tf JOIN src ON src.doc_id = tf.study_id GROUP BY 1, 2),
+words AS MATERIALIZED (SELECT topic, term, n / sum(n) OVER (PARTITION BY topic) AS weight FROM mw),
 mix AS (SELECT doc_id AS study_id, t AS topic, CASE WHEN k % 3 = t THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END AS share FROM src, range(3) r(t)),
-tops AS (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM words QUALIFY rank <= 10)"""
+tops AS MATERIALIZED (SELECT topic, term, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM words QUALIFY rank <= 10)"""
 
 
 def _given_topics(spark, folder):
