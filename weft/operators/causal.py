@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import let, raw_words, safe_div, strip_space
+from ..functions.columns import raw_words, safe_div, strip_space
 from ..functions.lexicons import CAUSAL_PATTERNS
+from ..plans.codebook import shared_words
 from ..plans.lineage import cut
 from ..sources.documents import Evidence
 from .sentiment import sentence_rows
@@ -38,22 +39,18 @@ def causal_claims(parts: DataFrame, patterns=CAUSAL_PATTERNS, phrase_length: int
     return claims.filter(~F.col("cause").isin("", "unknown") & ~F.col("effect").isin("", "unknown"))
 
 
-def _best_theme(phrase, themes):
-    """The theme with the largest token overlap, first by order; null without one."""
-    return let(F.array_distinct(raw_words(phrase)), lambda words: let(
-        F.array_min(F.transform(themes, lambda t: F.struct(
-            (-F.size(F.array_intersect(words, t["words"]))).alias("score"), t["ord"].alias("ord"),
-            t["theme_id"].alias("theme_id")))),
-        lambda best: F.when(best["score"] < 0, best["theme_id"])))
-
-
 def claim_themes(ev: Evidence, claims: DataFrame) -> DataFrame:
-    """Claims with cause_theme and effect_theme."""
+    """Claims with cause_theme and effect_theme: the theme with the largest token overlap, first by
+    order; null without one. Claims are distinct by (study_id, part, sent, pattern)."""
+    key = ["study_id", "part", "sent", "pattern"]
     words = F.array_distinct(F.concat(raw_words("label"), F.flatten(F.transform("concepts", lambda c: raw_words(c)))))
-    book = ev.themes.select("theme_id", "ord", words.alias("words")).agg(
-        F.collect_list(F.struct("theme_id", "ord", "words"))).scalar()
-    return claims.withColumn("book", book).withColumn("cause_theme", _best_theme("cause", F.col("book"))).withColumn(
-        "effect_theme", _best_theme("effect", F.col("book"))).drop("book")
+    book = ev.themes.select("theme_id", "ord", F.explode(words).alias("word"))
+    claims = cut(claims)
+    sides = claims.select(*key, F.explode(F.array(*[F.struct(F.lit(s).alias("side"), raw_words(s).alias("words")) for s in ("cause", "effect")])).alias("s"))
+    met = shared_words(sides.select(*key, "s.side", "s.words"), "words", book).groupBy(*key, "side", "theme_id", "ord").agg(F.count("*").alias("n"))
+    best = met.groupBy(*key).agg(*[F.min(F.when(F.col("side") == s, F.struct((-F.col("n")).alias("n"), "ord", "theme_id")))["theme_id"]
+                                   .alias(f"{s}_theme") for s in ("cause", "effect")])
+    return claims.join(best, key, "left")
 
 
 def causal_edges(ev: Evidence, matched: DataFrame) -> DataFrame:

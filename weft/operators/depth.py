@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import let, safe_div
 from ..functions.lexicons import ABSTRACTION_WORDS, DISCONFIRMING_WORDS, LEVEL_FIELD
+from ..plans.codebook import containing
 from ..plans.lineage import cut
 from ..plans.pairs import incidence
 from ..plans.prefix import numbered, running_sums
 from ..plans.ranks import average_ranks, correlation
 from ..sources.documents import Evidence
-from .argument import clean_words, codebook_array, label_words, mentioned_themes
+from .argument import clean_words, label_words
 from .synthesis import theme_counts
 
 
@@ -79,8 +80,7 @@ def refuted_themes(ev: Evidence, findings: DataFrame, negations=DISCONFIRMING_WO
     """theme_id: a study outside the theme has a finding that mentions a label word and
     holds a negation. findings: study_id, text."""
     negated = findings.filter(F.exists(clean_words("text"), lambda w: w.isin(list(negations))))
-    hits = negated.withColumn("labels", codebook_array(label_words(ev.themes))).select(
-        "study_id", F.explode(mentioned_themes("text", F.col("labels"))).alias("theme_id")).distinct()
+    hits = containing(negated.select("study_id", "text"), label_words(ev.themes)).select("study_id", "theme_id").distinct()
     return hits.join(incidence(ev.theme_studies), ["study_id", "theme_id"], "left_anti").select("theme_id").distinct()
 
 

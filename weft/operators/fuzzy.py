@@ -9,7 +9,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clamp, let, safe_div, tokenise
+from ..functions.columns import clamp, safe_div, tokenise
+from ..plans.codebook import shared_words
 from ..plans.pairs import incidence, theme_pairs
 from ..sources.documents import Evidence
 
@@ -28,13 +29,11 @@ def membership(ev: Evidence, quotes: DataFrame, texts: DataFrame) -> DataFrame:
                 .join(per_study, "study_id")
                 .select("study_id", "theme_id", safe_div("shared", "n_quotes").alias("q"), zero.alias("j"), F.lit(False).alias("a")))
     words = F.array_distinct(tokenise(F.concat_ws(" ", "label", F.array_join("concepts", " "))))
-    book = ev.themes.select("theme_id", words.alias("words")).agg(F.collect_list(F.struct("theme_id", "words"))).scalar()
-    cells = texts.select("study_id", F.array_distinct(tokenise("text")).alias("t")).withColumn("book", book).select(
-        "study_id", F.explode(F.filter(F.transform("book", lambda b: let(
-            F.size(F.array_intersect("t", b["words"])),
-            lambda n: F.struct(b["theme_id"].alias("theme_id"), n.alias("n"), (F.size("t") + F.size(b["words"]) - n).alias("u")))),
-            lambda c: c["n"] > 0)).alias("c"))
-    by_word = cells.select("study_id", "c.theme_id", zero.alias("q"), safe_div("c.n", "c.u").alias("j"), F.lit(False).alias("a"))
+    book = ev.themes.select("theme_id", words.alias("words")).select("theme_id", F.size("words").alias("size"), F.explode("words").alias("word"))
+    said = texts.select("study_id", F.array_distinct(tokenise("text")).alias("t")).select("study_id", F.size("t").alias("n_t"), "t")
+    met = shared_words(said, "t", book).groupBy("study_id", "theme_id").agg(
+        F.count("*").alias("n"), F.first("n_t").alias("n_t"), F.first("size").alias("size"))
+    by_word = met.select("study_id", "theme_id", zero.alias("q"), safe_div("n", F.col("n_t") + F.col("size") - F.col("n")).alias("j"), F.lit(False).alias("a"))
     by_hand = incidence(ev.theme_studies).select("study_id", "theme_id", zero.alias("q"), zero.alias("j"), F.lit(True).alias("a"))
     rows = (by_quote.unionByName(by_word).unionByName(by_hand).groupBy("study_id", "theme_id")
             .agg(F.max("q").alias("q"), F.max("j").alias("j"), F.bool_or("a").alias("a"))

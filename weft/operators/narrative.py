@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import let, safe_div, spaced_words
 from ..plans.blocks import paired_within
+from ..plans.codebook import shared_words
 from ..plans.components import connected_components
 from ..plans.lineage import cut
 from ..plans.pairs import incidence, theme_pairs
@@ -18,20 +19,15 @@ def storylines(ev: Evidence) -> DataFrame:
     the assigned but unmentioned ones, ties in theme order."""
     long = F.filter(F.array_distinct(F.concat(spaced_words("label"), F.flatten(F.transform("concepts", spaced_words)))),
                     lambda w: F.length(w) > 2)
-    book = ev.themes.select("theme_id", "ord", long.alias("words")).agg(
-        F.collect_list(F.struct("ord", "theme_id", "words"))).scalar()
-    own = incidence(ev.theme_studies).groupBy("study_id").agg(F.collect_set("theme_id").alias("own"))
-    rows = ev.studies.select("study_id", "findings").join(own, "study_id", "left").withColumn("book", book)
-
-    def placed(said):
-        return F.transform("book", lambda t: F.struct(
-            F.array_position(F.transform(said, lambda ws: F.arrays_overlap(ws, t["words"])), True).alias("at"),
-            t["ord"].alias("ord"), t["theme_id"].alias("theme_id")))
-    first = let(F.transform("findings", spaced_words), placed)
-    kept = F.transform(F.filter(first, lambda t: (t["at"] > 0) | F.coalesce(F.array_contains("own", t["theme_id"]), F.lit(False))),
-                       lambda t: F.struct(F.when(t["at"] > 0, t["at"]).otherwise(F.lit(2**40)).alias("at"),
-                                          t["ord"].alias("ord"), t["theme_id"].alias("theme_id")))
-    return rows.select("study_id", F.transform(F.array_sort(kept), lambda t: t["theme_id"]).alias("themes"))
+    book = ev.themes.select("theme_id", "ord", F.explode(long).alias("word"))
+    said = ev.studies.select("study_id", F.posexplode("findings").alias("at", "text")).select("study_id", "at", spaced_words("text").alias("words"))
+    first = shared_words(said, "words", book).groupBy("study_id", "theme_id", "ord").agg(F.min("at").cast("bigint").alias("at"))
+    own = incidence(ev.theme_studies).join(ev.themes.select("theme_id", "ord"), "theme_id").select(
+        "study_id", "theme_id", "ord", F.lit(1 << 40).alias("at"))
+    told = first.unionByName(own).groupBy("study_id", "theme_id", "ord").agg(F.min("at").alias("at")).groupBy("study_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "ord", "theme_id"))), lambda t: t["theme_id"]).alias("themes"))
+    return ev.studies.select("study_id").join(told, "study_id", "left").select(
+        "study_id", F.coalesce("themes", F.array().cast("array<string>")).alias("themes"))
 
 
 def storyline_classes(stories: DataFrame) -> DataFrame:
