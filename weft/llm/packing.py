@@ -6,12 +6,12 @@ import base64
 import functools
 import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filled, ranked, stored
@@ -42,26 +42,52 @@ def _encoders(model: str):
     return quick, full
 
 
-def token_ids(text: str, model: str = "byte_bpe_50k.json") -> list[int]:
-    quick, full = _encoders(model)
+def _ids(text: str, quick, full) -> np.ndarray:
     if quick and PLAIN.fullmatch(text) and "<|endoftext|>" not in text:
-        return quick.encode_ordinary(text)
-    return full.encode(text, add_special_tokens=False).ids
+        return np.frombuffer(quick._core_bpe.encode_to_tiktoken_buffer(text, _NONE), np.uint32)
+    return np.array(full.encode(text, add_special_tokens=False).ids, np.uint32)
+
 
+_NONE: set[str] = set()
 
-def pieces(text: Column, capacity: int = CAPACITY, model: str = "byte_bpe_50k.json", end: int = 0, ids: bool = False) -> Column:
-    """Array of (start, length, ids_crc32[, ids...]): the token ids of a text and ``end``, cut from
-    the back into pieces of ``capacity``, so that only the first may be shorter."""
-    @F.pandas_udf("array<array<bigint>>")
-    def cut(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            all_ids = np.append(np.frombuffer(array("I", token_ids(text, model)), np.uint32), end).astype("<u4")
-            edges = [0, *range((len(all_ids) - 1) % capacity + 1, len(all_ids) + 1, capacity)]
-            out.append([[a, b - a, zlib.crc32(all_ids[a:b].tobytes()), *(all_ids[a:b].tolist() if ids else ())]
-                        for a, b in zip(edges, edges[1:])])
-        return pd.Series(out)
-    return cut(text)
+
+def token_ids(text: str, model: str = "byte_bpe_50k.json") -> list[int]:
+    return _ids(text, *_encoders(model)).tolist()
+
+
+def pieces(docs: DataFrame, capacity: int = CAPACITY, model: str = "byte_bpe_50k.json", end: int = 0, ids: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (and ids): the token ids of each text and ``end``, cut from
+    the back into pieces of ``capacity``, so that only the first may be shorter.
+
+    Ids stay in buffers; Python sees one number per piece."""
+    last = np.array([end], "<u4").tobytes()
+
+    def run(batches):
+        encoders = _encoders(model)
+        for batch in batches:
+            owner, piece, start, length, crc, kept = [], [], [], [], [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                found = _ids(text, *encoders)
+                n, raw = len(found) + 1, memoryview(found).cast("B")
+                first = (n - 1) % capacity + 1
+                for k, hi in enumerate(range(first, n + 1, capacity)):
+                    lo = hi - capacity if k else 0
+                    sum_ = zlib.crc32(raw[4 * lo:4 * min(hi, n - 1)])
+                    owner.append(row)
+                    piece.append(k)
+                    start.append(lo)
+                    length.append(hi - lo)
+                    crc.append(zlib.crc32(last, sum_) if hi == n else sum_)
+                    if ids:
+                        kept.append(np.append(found[lo:hi], np.uint32(end)) if hi == n else found[lo:hi])
+            columns = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                       pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            if ids:
+                columns.append(pa.array(kept, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(columns)])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", filled("text").alias("text")).mapInArrow(
+        run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + (", ids array<bigint>" if ids else ""))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -143,10 +169,7 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, model: str = "byte_bpe_50k
 
     A null text is empty: one piece, the end token. Repeated rows are packed one by one; a null
     doc_id is packed like any other. An empty table gives no rows; extra columns are not read."""
-    tokens = docs.select(F.col("doc_id").alias("doc_id"), pieces(filled("text"), capacity, model, end, ids).alias("p"))
-    rows = stored(tokens.select("doc_id", F.posexplode("p").alias("piece", "p")).select(
-        "doc_id", "piece", F.get("p", 0).alias("start"), F.get("p", 1).alias("length"), F.get("p", 2).alias("ids_crc32"),
-        *([F.slice("p", 4, capacity).alias("ids")] if ids else [])))
+    rows = stored(pieces(docs, capacity, model, end, ids))
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     first, total = {}, 0
     for length in sorted(counts):
