@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +19,15 @@ from .common import filled, removed, salted_join, stored_at
 
 #: Occurrences of a candidate, words of the longest phrase, phrases reported per language.
 LEAST, LONGEST, TOP = 100, 5, 2000
-#: Shards of a cycle, and the bits (as a power of two) of the filter that holds the phrases that reached LEAST.
+#: Shards of a cycle, and the bits (as a power of two) of the filter that holds the phrases that are on their way to LEAST.
 SHARDS, FILTER_BITS = 4, 26
 #: A filter looks up these shifts of a phrase's hash.
 SHIFTS = (0, 19, 38)
-#: Bytes of text that are counted at once (a longer text goes by itself).
-PART = 1 << 23
-END = b"\xff"
+#: Bytes of text, and words, that are counted at once (a longer text goes by itself).
+PART, PART_WORDS = 1 << 22, 1 << 20
+END, NEXT = b"\xff", b"\xfe"
 #: Bytes of a text: A-Z in lower case, ends of pieces as END (no byte of UTF-8), a tab as a blank.
 _TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + END * 10 + b" ")
-_SCHEMA = "lang string, words int, phrase string, hash bigint, n bigint"
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -45,147 +46,198 @@ def _within(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _groups(hashes: np.ndarray, same) -> tuple[np.ndarray, np.ndarray]:
-    """Places of one member of each group, and the sizes. ``same(i, j)`` tells which members are
-    equal in truth; those that only share a hash with the first one form groups of their own."""
-    places = np.arange(len(hashes))
-    firsts, sizes = [], []
-    while len(places):
-        _, first, of, n = np.unique(hashes[places], return_index=True, return_inverse=True, return_counts=True)
-        true = same(places, places[first][of])
-        firsts.append(places[first])
-        sizes.append(n if true.all() else np.bincount(of[true], minlength=len(first)))
-        places = places[~true]
-    return (np.concatenate(firsts), np.concatenate(sizes)) if firsts else (places, places)
-
-
-def _counted(texts: list[str], lang: str, words_too: bool, now: np.ndarray | None, before: np.ndarray | None, longest: int):
-    """(words, phrase, hash, n) of some texts of one language: single words if ``words_too``, and
-    the phrases whose two parts of one word less are in ``now`` and not both in ``before``."""
-    data = END.join(x.encode() for x in texts).translate(_TO).replace(END, b" " + END + b" ")
-    parts = data.split()
+def _numbered(texts: list[str], lang: str) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The words of some texts of one language by number, their names, and a hash of each. Ends of
+    pieces are number 0, ends of texts 1; both have the hash 0."""
+    data = NEXT.join([x.encode().translate(_TO) for x in texts] + [b""])
+    parts = data.replace(END, b" " + END + b" ").replace(NEXT, b" " + NEXT + b" ").split()
     number: dict[bytes, int] = defaultdict()
     number.default_factory = number.__len__
-    number[END]
+    number[END], number[NEXT]
     ids = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
-    del data, parts
     names, seed = list(number), xxhash.xxh64_intdigest(lang.encode())
-    own = np.array([xxhash.xxh64_intdigest(w, seed) for w in names], np.uint64)
-    if words_too:
-        n = np.bincount(ids, minlength=len(names))
-        yield 1, [w.decode() for w in names[1:]], own[1:], n[1:]
-    if now is None or not len(ids):
+    own = np.array([xxhash.xxh64_intdigest(w, seed) or 1 for w in names], np.uint64)
+    own[:2] = 0
+    return ids, names, own
+
+
+def _by_language(batch: pa.RecordBatch, part: int) -> Iterator[tuple[str, list[str]]]:
+    lang, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+    sizes = np.cumsum([len(x) + 1 for x in text])
+    lo = 0
+    while lo < len(text):
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + part, side="right")))
+        by = defaultdict(list)
+        for x, y in zip(lang[lo:hi], text[lo:hi]):
+            by[x].append(y)
+        yield from by.items()
+        lo = hi
+
+
+def encoded(texts: DataFrame, shards: int, part: int = PART) -> DataFrame:
+    """shard, words: the word hashes of each text with 0 at the end of every piece, dealt in turn.
+    texts: lang, text."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId()
+        for batch in batches:
+            for lang, own_texts in _by_language(batch, part):
+                ids, _, own = _numbered(own_texts, lang)
+                edges = np.append(0, np.flatnonzero(ids == 1) + 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(((np.arange(len(own_texts)) + turn) % shards).astype(np.int32)),
+                     pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(own[ids].view(np.int64)))], ["shard", "words"])
+                turn += len(own_texts)
+    return texts.mapInArrow(run, "shard int, words array<bigint>")
+
+
+def _active(words: np.ndarray, now: np.ndarray | None, before: np.ndarray | None, longest: int):
+    """(length, hash, n) of what a scan counts: single words in the first cycle (before is None), and the phrases
+    whose two parts of one word less are in ``now`` and were not both in ``before``."""
+    if before is None:
+        found, n = np.unique(words[words != 0], return_counts=True)
+        yield 1, found, n
+    if now is None or not len(words):
         return
-    in_now = _within(now, own)
-    in_before = in_now & _within(before, own) if before is not None else np.zeros(len(own), bool)
-    in_now[0] = in_before[0] = False
-    words, held, old = own[ids], in_now[ids], in_before[ids]
+    held = (words != 0) & _within(now, words)
+    old = np.zeros(len(words), bool)
+    if before is not None:
+        at = np.flatnonzero(held)
+        old[at] = _within(before, words[at])
     hashes = words
     for k in range(2, longest + 1):
         at = np.flatnonzero(held[:-1] & held[1:])
-        at = at[at + k <= len(ids)]
+        at = at[at + k <= len(words)]
         if not len(at):
             return
-        new_hash = _mixed(hashes[at], words[at + k - 1])
-        fresh = np.flatnonzero(~(old[at] & old[at + 1]))
-        if len(fresh):
-            place = at[fresh]
-
-            def same(i, j):
-                out = np.ones(len(i), bool)
-                for step in range(k):
-                    out &= ids[place[i] + step] == ids[place[j] + step]
-                return out
-            first, n = _groups(new_hash[fresh], same)
-            spelled = [b" ".join([names[w] for w in row]).decode() for row in ids[place[first][:, None] + np.arange(k)].tolist()]
-            yield k, spelled, new_hash[fresh][first], n
+        new_hash, seen = _mixed(hashes[at], words[at + k - 1]), old[at] & old[at + 1]
+        found, n = np.unique(new_hash[~seen], return_counts=True)
+        yield k, found, n
         if k < longest:
-            passed = _within(now, new_hash)
-            known = passed & old[at] & old[at + 1] & _within(before, new_hash) if before is not None else np.zeros(len(at), bool)
-            held, old, hashes = np.zeros(len(ids), bool), np.zeros(len(ids), bool), np.zeros(len(ids), np.uint64)
-            held[at], old[at], hashes[at] = passed, known, new_hash
+            held, old, hashes = np.zeros(len(words), bool), np.zeros(len(words), bool), np.zeros(len(words), np.uint64)
+            held[at], hashes[at] = _within(now, new_hash), new_hash
+            if before is not None:
+                again = at[seen & held[at]]
+                old[again] = _within(before, hashes[again])
 
 
-def scanned(shard: DataFrame, words_too: bool, now, before, longest: int = LONGEST, part: int = PART) -> DataFrame:
-    """lang, words, phrase, hash, n: counts per part of a task; now, before: broadcast filters or None."""
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint64)
+
+
+def scanned(shard: DataFrame, now, before, longest: int = LONGEST) -> DataFrame:
+    """longer (may it have longer ones), hash, n: what is counted, summed per part of a task; now, before: broadcast filters or None."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = now.value if now is not None else None, before.value if before is not None else None
+        filters = [_unpacked(x.value) if x is not None else None for x in (now, before)]
         for batch in batches:
-            lang, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            sizes = np.cumsum([len(x) + 1 for x in text])
+            column = batch.column(0)
+            sizes = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
             lo = 0
-            while lo < len(text):
-                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + part, side="right")))
-                by = defaultdict(list)
-                for x, y in zip(lang[lo:hi], text[lo:hi]):
-                    by[x].append(y)
-                for name, texts in by.items():
-                    for k, phrases, hashes, n in _counted(texts, name, words_too, *filters, longest):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([name]).take(pa.array(np.zeros(len(phrases), np.int32))), pa.array(np.full(len(phrases), k, np.int32)),
-                             pa.array(phrases, pa.string()), pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))],
-                            ["lang", "words", "phrase", "hash", "n"])
+            while lo < batch.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + PART_WORDS, side="right")))
+                words = column.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                for k, found, n in _active(words, *filters, longest):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k < longest)), pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))],
+                                                     ["longer", "hash", "n"])
                 lo = hi
-    return shard.select("lang", "text").mapInArrow(run, _SCHEMA)
+    return shard.select("words").mapInArrow(run, "longer boolean, hash bigint, n bigint")
 
 
-def _filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """A filter over a column ``hash``: at most 2^(bits - 6) numbers reach the driver."""
-    mask = (1 << bits) - 1
-    at = hashes.select(F.explode(F.array(*[F.shiftrightunsigned("hash", s).bitwiseAND(F.lit(mask)) for s in SHIFTS])).alias("at"))
+def _bits(hashes: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Filter over longer, hash; and only over those that may have longer ones. At most 2^(bits - 6) rows reach the driver."""
+    at = hashes.select("longer", F.explode(F.array(*[F.shiftrightunsigned("hash", s).bitwiseAND(F.lit((1 << bits) - 1)) for s in SHIFTS])).alias("at"))
+    bit = F.expr("shiftleft(1L, cast(at & 63 as int))")
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out.view(np.uint64)
+        F.bit_or(bit).alias("every"), F.coalesce(F.bit_or(F.when(F.col("longer"), bit)), F.lit(0).cast("bigint")).alias("longer")).toArrow()
+    out = []
+    for name in ("every", "longer"):
+        one = np.zeros(1 << (bits - 6), np.int64)
+        one[words["word"].to_numpy()] = words[name].to_numpy()
+        out.append(one.view(np.uint64))
+    return out[0], out[1]
+
+
+def _exact(texts: DataFrame, final, longest: int, part: int = PART) -> DataFrame:
+    """lang, words, phrase, n per part of a task: how often the words and phrases in the filter occur;
+    words = 0: all words of the language."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = _unpacked(final.value)
+        for batch in batches:
+            for lang, own_texts in _by_language(batch, part):
+                for k, phrases, n in _spelled(own_texts, lang, bits, longest):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang]).take(pa.array(np.zeros(len(phrases), np.int32))), pa.array(np.full(len(phrases), k, np.int32)),
+                         pa.array(phrases, pa.string()), pa.array(n.astype(np.int64))], ["lang", "words", "phrase", "n"])
+    return texts.mapInArrow(run, "lang string, words int, phrase string, n bigint")
+
+
+def _spelled(texts: list[str], lang: str, bits: np.ndarray, longest: int):
+    ids, names, own = _numbered(texts, lang)
+    yield 0, [""], np.array([(ids > 1).sum()])
+    held = _within(bits, own)
+    held[:2] = False
+    n = np.bincount(ids, minlength=len(names))
+    known = np.flatnonzero(held)
+    yield 1, [names[i].decode() for i in known], n[known]
+    hashes = words = own[ids]
+    held, group = held[ids], ids
+    for k in range(2, longest + 1):
+        at = np.flatnonzero(held[:-1] & held[1:])
+        at = at[at + k <= len(ids)]
+        new_hash = _mixed(hashes[at], words[at + k - 1])
+        passed = _within(bits, new_hash)
+        at, new_hash = at[passed], new_hash[passed]
+        if not len(at):
+            return
+        # equal phrases: equal without the last word (by number), and equal last words
+        _, first, of, n = np.unique(group[at] * len(names) + ids[at + k - 1], return_index=True, return_inverse=True, return_counts=True)
+        yield k, [b" ".join([names[w] for w in row]).decode() for row in ids[at[first][:, None] + np.arange(k)].tolist()], n
+        held, hashes, group = np.zeros(len(ids), bool), np.zeros(len(ids), np.uint64), np.zeros(len(ids), np.int64)
+        held[at], hashes[at], group[at] = True, new_hash, of
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, shards: int = SHARDS, bits: int = FILTER_BITS) -> DataFrame:
-    """lang, words, phrase, n: all words, and all phrases of up to ``longest`` words that occur
-    ``least`` times or more (with other phrases that were counted on the way, some in part).
+    """lang, words, phrase, n: every word and every phrase of up to ``longest`` words that occurs
+    ``least`` times or more, some that occur less often, and as words = 0 all words of a language.
 
     Dynamic itemset counting. The texts are dealt into ``shards`` that are scanned in turn, over
-    and over. A phrase becomes active as soon as the counts so far of both its parts (without
-    its last word, without its first word) reach ``least``, in the middle of a cycle, and is then
-    counted for one full cycle; words are active from the start. So a scan counts phrases of
-    several lengths, each of them for the first time in this shard. It ends after a cycle in
-    which no part was new.
-
-    The phrases that reached ``least`` go to the tasks as a filter of 2^bits bits, of one size for
-    any corpus. Filters only grow, and a scan counts what passes the filter and did not pass
-    the one of the last scan of this shard: so each phrase is counted once in each shard, also
-    one that passes by chance, and the counts are exact however full the filter is."""
+    and over, as word hashes. A phrase becomes active as soon as both its parts (without its last
+    word, without its first) have reached their share of the threshold, least / shards in one
+    shard, in the middle of a cycle, and is then counted for one full cycle; words are active from
+    the start. So a scan counts phrases of several lengths, each for the first time in this
+    shard. What occurs ``least`` times has such a share in some shard, and so have its parts, so
+    nothing is missed. The scans end after a cycle in which no part was new; then one pass over the texts
+    counts exactly what reached its share.
+
+    What reached its share goes to the tasks as a filter of 2^bits bits, of one size for any corpus;
+    no table of counts is carried on. Filters only grow, and a scan counts what passes the filter and did not
+    pass the one of the last scan of this shard: so each phrase is counted once in each shard.
+    What passes a full filter by chance costs time, never a wrong count."""
     spark = docs.sparkSession
     folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
-    shown = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), filled("text").alias("text"),
-                        F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"))
-    shown.write.partitionBy("shard").parquet(folder)
-    texts = spark.read.schema("lang string, text string, shard int").parquet(folder)
-    totals, place, known, settled, step = None, None, 0, 0, 0
+    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), filled("text").alias("text"))
+    encoded(texts, shards).write.partitionBy("shard").parquet(folder)
+    words = spark.read.schema("words array<bigint>, shard int").parquet(folder)
+    total = longer = np.zeros(1 << (bits - 6), np.uint64)
     filters: list = [None]
-    sizes = [0]
+    settled = step = 0
     while step < shards or step <= settled + shards:
         now, before = filters[-1], filters[-1 - shards] if step >= shards else None
-        if step < shards or sizes[-1] > sizes[-1 - shards]:
-            counts = scanned(texts.filter(F.col("shard") == step % shards), step < shards, now, before, longest)
-            counts = counts if totals is None else counts.unionByName(totals)
-            last = place
-            totals, place = stored_at(counts.groupBy("lang", "words", "phrase", "hash").agg(F.sum("n").alias("n")))
-            if last:
-                removed(spark, last)
-            parts = totals.filter((F.col("n") >= least) & (F.col("words") < longest))
-            reached = parts.count()
-            if reached > known:
-                known, settled = reached, step
-                filters.append(spark.sparkContext.broadcast(_filter(parts, bits)))
-            else:
-                filters.append(now)
-        else:
-            filters.append(now)
-        sizes.append(known)
+        if step < shards or now is not before:
+            counts = scanned(words.filter(F.col("shard") == step % shards), now, before, longest)
+            share = counts.groupBy("longer", "hash").agg(F.sum("n").alias("n")).filter(F.col("n") * shards >= least)
+            more, more_longer = _bits(share, bits)
+            if (more_longer & ~longer).any():
+                settled, longer = step, longer | more_longer
+                now = spark.sparkContext.broadcast(zlib.compress(longer.tobytes(), 1))
+            total = total | more
+        filters.append(now)
         step += 1
+        past = filters[-2 - shards] if len(filters) > shards + 1 else None
+        if past is not None and past is not filters[-1 - shards]:
+            past.destroy()
     removed(spark, folder)
-    return totals.drop("hash")
+    final = spark.sparkContext.broadcast(zlib.compress(total.tobytes(), 1))
+    return stored_at(_exact(texts, final, longest).groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")))[0]
 
 
 def _words(phrase: Column, start: Column | int, n: Column | int) -> Column:
@@ -208,8 +260,8 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     repeated rows count one by one. An empty table gives no rows. A first part that many
     candidates share is split over salts; a language's list comes from the best ``top`` of each task."""
     totals = phrase_counts(docs, least, longest, shards, bits)
-    often, _ = stored_at(totals.filter(F.col("n") >= least))
-    sizes = totals.filter("words = 1").groupBy("lang").agg(F.sum("n").alias("n"))
+    often, _ = stored_at(totals.filter((F.col("n") >= least) & (F.col("words") > 0)))
+    sizes = totals.filter("words = 0").select("lang", "n")
     found = often.filter("words > 1").withColumnRenamed("n", "a")
     inner = found.filter("words > 2").select("lang", "a", F.explode(F.array(
         _words(F.col("phrase"), 1, F.col("words") - 1), _words(F.col("phrase"), 2, F.col("words") - 1))).alias("phrase"))
