@@ -188,3 +188,49 @@ def test_growth_and_shift(make):
 def test_theme_pairs_are_complete(make):
     ev = make({t: [] for t in "ABCDE"}, STUDIES)
     assert len(rows(theme_pairs(ev.themes))) == 10
+
+
+def _ordered(spark, pairs, n):
+    from weft.operators.order import Order
+    below = spark.createDataFrame(pairs, "x string, y string") if pairs else spark.createDataFrame([], "x string, y string")
+    elements = spark.createDataFrame([(f"e{i}",) for i in range(n)], "rep string")
+    return Order(elements.select("rep", "rep").toDF("theme_id", "rep"), below, elements)
+
+
+@pytest.mark.parametrize("seed, n, share", [(1, 9, 0.25), (2, 10, 0.5), (3, 8, 0.0), (4, 11, 0.15)])
+def test_width_against_all_antichains(spark, seed, n, share):
+    import random
+    from itertools import combinations
+    rng = random.Random(seed)
+    lt = {(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < share}
+    while True:
+        more = {(a, d) for a, b in lt for c, d in lt if b == c} - lt
+        if not more:
+            break
+        lt |= more
+    best = max(k for k in range(1, n + 1) if any(all((a, b) not in lt for a, b in combinations(s, 2)) for s in combinations(range(n), k)))
+    assert one(order.width(_ordered(spark, [(f"e{a}", f"e{b}") for a, b in lt], n)))["width"] == best
+
+
+def test_covers_and_closures_by_brute_force(spark, make):
+    import random
+    from itertools import combinations
+    rng = random.Random(9)
+    names, studies = [f"T{i}" for i in range(10)], [f"S{i:02d}" for i in range(14)]
+    held = {s: {t for t in names if rng.random() < 0.55} for s in studies}
+    ev = make({t: [s for s in studies if t in held[s]] for t in names}, studies)
+
+    def closed(themes):
+        own = [held[s] for s in studies if set(themes) <= held[s]]
+        return (tuple(sorted(set.intersection(*own))) if own else tuple(names)), len(own)
+    intents = {closed(c)[0] for k in range(11) for c in combinations(names, k)}
+    above = {(p, c) for p in intents for c in intents if set(p) < set(c)}
+    covers = {(p, c) for p, c in above if not any((p, m) in above and (m, c) in above for m in intents)}
+    found, edges = concepts._lattice(ev)
+    by = {r["concept"]: tuple(r["intent"]) for r in found.collect()}
+    assert set(by.values()) == intents and len(by) == len(intents)
+    assert {(by[p], by[c]) for p, c in rows(edges, "parent", "child")} == covers
+    given = [(str(k), rng.sample(names, k % 5)) for k in range(25)] + [("all", names)]
+    got = {r["set_id"]: (tuple(r["closure"]), r["n_studies"]) for r in concepts.closures(
+        ev, spark.createDataFrame(given, "set_id string, themes array<string>")).collect()}
+    assert got == {k: closed(t) for k, t in given}

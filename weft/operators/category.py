@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import safe_div
-from ..plans.pairs import all_pair_overlaps, incidence, ordered_overlaps
+from ..plans.pairs import all_pair_overlaps, incidence, ordered_overlaps, theme_pairs
 from ..sources.documents import Evidence
 from .synthesis import theme_counts
 
@@ -38,6 +38,14 @@ def coproducts(ev: Evidence) -> DataFrame:
     return o.select("a", "b", (F.col("n_a") + F.col("n_b") - F.col("inter")).alias("n_studies"))
 
 
+def coproduct_members(ev: Evidence) -> DataFrame:
+    """a before b, study_id: the studies of each union. As long as the answer: each study once for
+    every pair with one of its themes."""
+    inc, pairs = incidence(ev.theme_studies), theme_pairs(ev.themes)
+    sides = [pairs.join(inc.withColumnRenamed("theme_id", c), c).select("a", "b", "study_id") for c in ("a", "b")]
+    return sides[0].unionByName(sides[1]).distinct()
+
+
 def isomorphism_classes(ev: Evidence) -> DataFrame:
     """theme_id, representative: themes with the same study set (all empty ones
     together) share the first by order."""

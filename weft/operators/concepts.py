@@ -26,23 +26,52 @@ def object_classes(ev: Evidence) -> DataFrame:
     return rows.withColumn("obj", F.sha2(F.concat_ws("\x01", "themes"), 256))
 
 
-def formal_concepts(ev: Evidence, max_rounds: int = 1000) -> DataFrame:
-    """concept, intent ARRAY (sorted), n_studies: all maximal study set / theme set pairs.
+def closures(ev: Evidence, sets: DataFrame) -> DataFrame:
+    """set_id, closure ARRAY (sorted), n_studies for given theme sets (set_id, themes ARRAY): how many studies
+    carry all themes of the set, and the themes that all of these carry. A set that no study
+    carries closes to all themes, the empty set to the themes of every study.
+
+    A set meets the study classes of its themes and keeps those it meets in every theme, so the
+    work grows with these meetings, not with sets x studies."""
+    objects = cut(object_classes(ev))
+    has = cut(objects.select("obj", F.explode("themes").alias("theme")))
+    sets = sets.select("set_id", F.array_distinct("themes").alias("themes"))
+    weight = objects.select("obj", "n")
+    extents = cut(sets.select("set_id", F.size("themes").alias("k"), F.explode("themes").alias("theme")).join(has, "theme").groupBy(
+        "set_id", "k", "obj").agg(F.count("*").alias("c")).filter("c = k").join(weight, "obj").select("set_id", "obj", "n"))
+    size = extents.groupBy("set_id").agg(F.sum("n").alias("n_studies"))
+    shared = extents.join(has, "obj").groupBy("set_id", "theme").agg(F.sum("n").alias("c")).join(size, "set_id").filter("c = n_studies")
+    found = shared.groupBy("set_id", "n_studies").agg(F.array_sort(F.collect_list("theme")).alias("closure"))
+    everything = objects.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+    common = has.join(weight, "obj").groupBy("theme").agg(F.sum("n").alias("c")).withColumn("all", everything).filter("c = all").agg(
+        F.array_sort(F.collect_list("theme"))).scalar()
+    every = ev.themes.agg(F.array_sort(F.collect_list("theme_id"))).scalar()
+    bare = F.size("themes") == 0
+    return sets.join(found, "set_id", "left").withColumns({"_all": everything, "_common": common, "_every": every}).select(
+        "set_id", F.when(bare & (F.col("_all") > 0), F.col("_common")).otherwise(F.coalesce("closure", "_every")).alias("closure"),
+        F.when(bare, F.col("_all")).otherwise(F.coalesce("n_studies", F.lit(0))).cast("bigint").alias("n_studies"))
+
+
+def _lattice(ev: Evidence) -> tuple[DataFrame, DataFrame]:
+    """Concepts (concept, intent, n_studies) and the cover relation (parent, child).
 
     Round by round each new concept is extended by one theme; equal extents are one
-    concept. Joins are on the object class and the concept key only. The theme set of
-    no study, when it exists, closes the lattice at the bottom."""
+    concept. Joins are on the object class and the concept key only. A concept covers another one
+    if all themes that the other has more lead to it, so covers come from these steps, and no concept
+    is compared with all others. The theme set of no study, when it exists, closes the lattice
+    at the bottom."""
     objects = cut(object_classes(ev))
     has = cut(objects.select("obj", F.explode("themes").alias("theme")))
     weight = objects.select("obj", "n")
     top = objects.select("obj").withColumn("concept", objects.agg(_fingerprint("obj")).scalar())
     front = cut(top.select("concept", "obj"))
-    extents, known = front, cut(front.select("concept").distinct())
-    for _ in range(max_rounds):
+    extents, known, steps = front, cut(front.select("concept").distinct()), None
+    while True:
         sized = front.groupBy("concept").agg(F.count("*").alias("size"))
         grown = front.join(has, "obj")
         part = grown.groupBy("concept", "theme").agg(F.count("*").alias("n"), _fingerprint("obj").alias("next"))
-        smaller = part.join(sized, "concept").filter("n < size")
+        smaller = cut(part.join(sized, "concept").filter("n < size").select("concept", "theme", "next"))
+        steps = smaller if steps is None else steps.unionByName(smaller)
         fresh = (smaller.groupBy("next").agg(F.min(F.struct("concept", "theme")).alias("s"))
                  .join(known.select(F.col("concept").alias("next")), "next", "left_anti")
                  .select("next", F.col("s.concept").alias("concept"), F.col("s.theme").alias("theme")))
@@ -51,34 +80,45 @@ def formal_concepts(ev: Evidence, max_rounds: int = 1000) -> DataFrame:
             break
         extents = extents.unionByName(front)
         known = cut(known.unionByName(front.select("concept").distinct()))
-    else:
-        raise RuntimeError("concepts did not settle")
     extents = cut(extents)
     size = extents.join(weight, "obj").groupBy("concept").agg(F.count("*").alias("c"), F.sum("n").alias("n_studies"))
     shared = (extents.join(has, "obj").groupBy("concept", "theme").agg(F.count("*").alias("k"))
               .join(size.select("concept", "c"), "concept").filter("k = c")
               .groupBy("concept").agg(F.array_sort(F.collect_list("theme")).alias("intent")))
-    out = size.join(shared, "concept", "left").select(
-        "concept", F.coalesce("intent", F.array().cast("array<string>")).alias("intent"), "n_studies")
+    out = cut(size.join(shared, "concept", "left").select(
+        "concept", F.coalesce("intent", F.array().cast("array<string>")).alias("intent"), "n_studies"))
     every = ev.themes.agg(F.array_sort(F.collect_list("theme_id")).alias("intent"))
     full = out.agg(F.max(F.size("intent"))).scalar()
     bottom = every.filter(F.size("intent") > full).select(
         F.lit("bottom").alias("concept"), "intent", F.lit(0).cast("bigint").alias("n_studies"))
-    return out.unionByName(bottom)
+    length = out.select("concept", F.size("intent").alias("length"))
+    led = steps.groupBy("concept", "next").agg(F.count("*").alias("k"))
+    covers = led.join(length, "concept").join(length.toDF("next", "longer"), "next").filter(F.col("longer") - F.col("length") == F.col("k")).select(
+        F.col("concept").alias("parent"), F.col("next").alias("child"))
+    lowest = out.select("concept").join(steps.select("concept").distinct(), "concept", "left_anti").withColumn(
+        "child", bottom.agg(F.first("concept")).scalar()).filter("child IS NOT NULL").select(F.col("concept").alias("parent"), "child")
+    return out.unionByName(bottom), covers.unionByName(lowest)
+
 
+def formal_concepts(ev: Evidence) -> DataFrame:
+    """concept, intent ARRAY (sorted), n_studies: all maximal study set / theme set pairs."""
+    return _lattice(ev)[0]
 
-def concept_order(concepts: DataFrame) -> DataFrame:
-    """x, y: concept x strictly below y (its intent strictly contains y's intent)."""
-    size = concepts.select("concept", F.size("intent").alias("k"))
-    items = concepts.select("concept", F.explode("intent").alias("t"))
-    inside = (items.select(F.col("concept").alias("y"), "t").join(items.select(F.col("concept").alias("x"), "t"), "t")
-              .filter("x <> y").groupBy("x", "y").agg(F.count("*").alias("n"))
-              .join(size.select(F.col("concept").alias("y"), "k"), "y").filter("n = k").select("x", "y"))
-    # the empty intent shares no theme with anything and is above all others
-    top = concepts.filter(F.size("intent") == 0).select(F.col("concept").alias("y"))
-    above = concepts.filter(F.size("intent") > 0).select(F.col("concept").alias("x")).withColumn(
-        "y", top.agg(F.first("y")).scalar()).filter(F.col("y").isNotNull())
-    return inside.unionByName(above.select("x", "y"))
+
+def concept_covers(ev: Evidence) -> DataFrame:
+    """parent, child: concepts with none between them; the child has the larger intent."""
+    return _lattice(ev)[1]
+
+
+def concept_ranks(concepts: DataFrame, covers: DataFrame) -> DataFrame:
+    """concept, rank: length of the longest chain of covers below."""
+    front, out, rank = concepts.select("concept"), concepts.select("concept", F.lit(0).alias("rank")), 0
+    while True:
+        rank += 1
+        front = cut(covers.join(front.withColumnRenamed("concept", "child"), "child", "left_semi").select(F.col("parent").alias("concept")).distinct())
+        if front.isEmpty():
+            return out.groupBy("concept").agg(F.max("rank").alias("rank"))
+        out = out.unionByName(front.withColumn("rank", F.lit(rank)))
 
 
 def implications(ev: Evidence, max_size: int | None = 4) -> DataFrame:
@@ -104,17 +144,10 @@ def implications(ev: Evidence, max_size: int | None = 4) -> DataFrame:
 
 
 def concept_report(ev: Evidence) -> dict[str, DataFrame]:
-    """Concepts with the order of the lattice; edges, height and width come from the
-    same chain joins as the subsumption order."""
-    from .order import Order, chains, hasse_edges, ranks
-
-    concepts = cut(formal_concepts(ev))
-    elements = concepts.select(F.col("concept").alias("rep"))
-    order = Order(concepts.select(F.col("concept").alias("theme_id"), F.col("concept").alias("rep")),
-                  cut(concept_order(concepts)), elements)
-    counts = chains(order)
-    level = ranks(order, counts)
-    return {"concepts": concepts, "edges": hasse_edges(order), "ranks": level,
+    """Concepts with the covers, ranks, height and width (largest rank level) of their lattice."""
+    concepts, edges = (cut(x) for x in _lattice(ev))
+    level = cut(concept_ranks(concepts, edges))
+    return {"concepts": concepts, "edges": edges, "ranks": level,
             "summary": level.groupBy("rank").agg(F.count("*").alias("n")).agg(
                 F.sum("n").alias("n_concepts"), F.max("rank").alias("height"), F.max("n").alias("width")),
             "implications": implications(ev)}

@@ -94,16 +94,58 @@ def _least_bounds(leq: DataFrame, low: str, high: str) -> DataFrame:
     return met.join(total, ["a", "b"]).filter("n = total").select("a", "b").distinct()
 
 
+def _paths(edges: DataFrame, match: DataFrame, free: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Trees of alternating paths from all free left elements at once, up to the first layer that meets free
+    right ones: ``steps`` (r, l, root), each right element in one tree, and ``ends`` (root, r)."""
+    front, steps = free.select("l", F.col("l").alias("root")), None
+    while True:
+        met = front.join(edges, "l")
+        met = met if steps is None else met.join(steps.select("r"), "r", "left_anti")
+        layer = cut(met.groupBy("r").agg(F.min(F.struct("root", "l")).alias("m")).select("r", "m.l", "m.root"))
+        steps = layer if steps is None else steps.unionByName(layer)
+        if layer.isEmpty():
+            return steps, layer.select("root", "r")
+        ends = cut(layer.join(match.select("r"), "r", "left_anti").groupBy("root").agg(F.min("r").alias("r")))
+        if not ends.isEmpty():
+            return steps, ends
+        front = layer.select("r", "root").join(match, "r").select("l", "root")
+
+
+def width(order: Order) -> DataFrame:
+    """One row, width: the exact size of the largest set of incomparable elements.
+
+    It is the least number of chains that cover the order (Dilworth), which is the elements less
+    a largest matching of the order as a bipartite graph (lower side, upper side). The matching grows
+    in rounds: from all unmatched lower elements alternating paths grow at once, every upper
+    element in one tree, and each tree that meets an unmatched upper element turns one path around.
+    A round without such an element ends it."""
+    edges = cut(order.below.select(F.col("x").alias("l"), F.col("y").alias("r")))
+    match = cut(edges.limit(0))
+    while True:
+        free = edges.select("l").distinct().join(match.select("l"), "l", "left_anti")
+        steps, ends = _paths(edges, match, free)
+        if ends.isEmpty():
+            return order.elements.agg((F.count("*") - match.count()).alias("width"))
+        at, added, dropped = ends, None, None
+        while not at.isEmpty():
+            new = cut(at.join(steps, ["root", "r"]).select("root", "l", "r"))
+            old = new.filter("l <> root").select("root", "l").join(match, "l").select("root", "l", "r")
+            added = new if added is None else added.unionByName(new)
+            dropped = old if dropped is None else dropped.unionByName(old)
+            at = cut(old.select("root", "r"))
+        match = cut(match.join(dropped.select("l", "r"), ["l", "r"], "left_anti").unionByName(added.select("l", "r")))
+
+
 def order_summary(order: Order, chain_counts: DataFrame) -> DataFrame:
-    """One row: elements, comparable pairs, density, height, largest rank level (a
-    guaranteed antichain), whether it is a lattice, multichain counts 1 to 3."""
+    """One row: elements, comparable pairs, density, height, exact width (largest antichain),
+    whether it is a lattice, multichain counts 1 to 3."""
     leq = order.below.unionByName(order.elements.select(F.col("rep").alias("x"), F.col("rep").alias("y")))
     n = order.elements.count()
     pairs = n * (n - 1) // 2
     joins = _least_bounds(leq, "x", "y").agg(F.count("*")).scalar()
     meets = _least_bounds(leq, "y", "x").agg(F.count("*")).scalar()
     zeta3 = leq.select("x", F.col("y").alias("z")).join(leq.select(F.col("x").alias("z"), "y"), "z").agg(F.count("*")).scalar()
-    level = ranks(order, chain_counts).groupBy("rank").agg(F.count("*").alias("n")).agg(F.max("n")).scalar()
+    level = width(order).scalar()
     height = chain_counts.agg(F.coalesce(F.max("k"), F.lit(0))).scalar()
     return order.below.agg(F.count("*").alias("comparable_pairs")).select(
         F.lit(n).cast("bigint").alias("zeta1"), (F.col("comparable_pairs") + n).alias("zeta2"),

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import r6
 from ..operators import category, concepts, network, order
 from ..plans.lineage import cut
+from ..plans.pairs import theme_pairs
 from ..sources import tables
 from .registry import query
 from .views import CUSTOMERS, EVENTS, ORDERS
@@ -175,11 +176,37 @@ def concept_lattice(spark, folder):
                                     edges.alias("n_edges"))
 
 
-@query("implications", f"""WITH {_MASKS}, a AS (SELECT s, intent, n FROM sub WHERE bit_count(s) BETWEEN 1 AND 4)
+@query("closure_of", f"""WITH {_MASKS}, g AS (SELECT 0::INT AS s, '' AS given UNION ALL SELECT bit, theme_id FROM bits
+  UNION ALL SELECT x.bit | y.bit, x.theme_id || ',' || y.theme_id FROM bits x JOIN bits y ON x.theme_id < y.theme_id)
+SELECT given, coalesce((SELECT string_agg(theme_id, ',' ORDER BY theme_id) FROM bits WHERE bit & coalesce(sub.intent, 4095) = bit), '') AS closure,
+  coalesce(sub.n, 0)::BIGINT AS n_studies FROM g LEFT JOIN sub ON sub.s = g.s""")
+def closure_of(spark, folder):
+    """The closures of the empty set, of every theme and of every two themes."""
+    ev = tables.events_evidence(spark, folder)
+    two = theme_pairs(ev.themes).select(F.array_sort(F.array("a", "b")).alias("themes"))
+    one = ev.themes.select(F.array("theme_id").alias("themes"))
+    given = two.unionByName(one).unionByName(one.select(F.slice("themes", 1, 0).alias("themes")).distinct()).select(
+        F.array_join("themes", ",").alias("set_id"), "themes")
+    return concepts.closures(ev, given).select(F.col("set_id").alias("given"), F.array_join("closure", ",").alias("closure"), "n_studies")
+
+
+@query("concept_covers", f"""WITH {_MASKS}, lt AS (SELECT x.intent AS x, y.intent AS y FROM con x JOIN con y ON x.intent <> y.intent AND x.intent & y.intent = y.intent),
+cov AS (SELECT x, y FROM lt WHERE NOT EXISTS (SELECT 1 FROM lt p JOIN lt q ON p.y = q.x WHERE p.x = lt.x AND q.y = lt.y)),
+nm AS (SELECT intent, coalesce((SELECT string_agg(theme_id, ',' ORDER BY theme_id) FROM bits WHERE bit & intent = bit), '') AS name FROM con)
+SELECT p.name AS parent, c.name AS child FROM cov JOIN nm p ON p.intent = y JOIN nm c ON c.intent = x""")
+def concept_covers(spark, folder):
+    """The intents of neighbouring concepts."""
+    report = concepts.concept_report(tables.events_evidence(spark, folder))
+    names = report["concepts"].select("concept", F.array_join("intent", ",").alias("name"))
+    return report["edges"].join(names.toDF("parent", "p"), "parent").join(names.toDF("child", "c"), "child").select(
+        F.col("p").alias("parent"), F.col("c").alias("child"))
+
+
+@query("implications", f"""WITH {_MASKS}, a AS (SELECT s, intent, n FROM sub WHERE s > 0)
 SELECT (SELECT string_agg(theme_id, ',' ORDER BY theme_id) FROM bits b2 WHERE b2.bit & s = b2.bit) AS antecedent,
  bits.theme_id AS consequent, n::BIGINT AS support FROM a JOIN bits ON bit & intent = bit AND bit & s = 0""")
 def implications(spark, folder):
-    return concepts.implications(tables.events_evidence(spark, folder)).select(
+    return concepts.implications(tables.events_evidence(spark, folder), None).select(
         F.array_join("antecedent", ",").alias("antecedent"), "consequent", "support")
 
 
@@ -210,6 +237,12 @@ def coproducts(spark, folder):
     return category.coproducts(tables.customers_evidence(spark, folder))
 
 
+@query("coproduct_members", f"""WITH {CUSTOMERS}, p AS (SELECT x.theme_id AS a, y.theme_id AS b FROM th x JOIN th y ON x.ord < y.ord)
+SELECT a, b, study_id FROM p JOIN ts ON ts.theme_id = a UNION SELECT a, b, study_id FROM p JOIN ts ON ts.theme_id = b""")
+def coproduct_members(spark, folder):
+    return category.coproduct_members(tables.customers_evidence(spark, folder))
+
+
 @query("iso_classes", f"""WITH {CUSTOMERS}, s AS (SELECT th.theme_id, ord, list_sort(list(study_id)) AS l FROM th LEFT JOIN ts ON ts.theme_id = th.theme_id GROUP BY 1, 2)
 SELECT theme_id, arg_min(theme_id, ord) OVER (PARTITION BY l) AS representative FROM s""")
 def iso_classes(spark, folder):
