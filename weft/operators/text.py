@@ -52,15 +52,29 @@ def vocabulary(texts: DataFrame, min_df: int = 1) -> DataFrame:
     return document_frequency(texts).filter(F.col("df") >= min_df)
 
 
-def tfidf(texts: DataFrame, counts: DataFrame | None = None) -> DataFrame:
-    """study_id, term, tf, df, weight = tf / n_tokens * ln(N / (1 + df)). The weight is
-    negative for a term of every study, as the definition says. ``counts`` narrows the
-    studies that get a vector; frequencies always come from all ``texts``."""
-    n = texts.agg(F.count("*")).scalar()
-    rows = term_counts(texts) if counts is None else counts
-    return rows.join(document_frequency(texts), "term").select(
-        "study_id", "term", "tf", "df",
-        (F.col("tf") / F.col("n_tokens") * F.log(n / (1.0 + F.col("df")))).alias("weight"))
+def read_once(texts: DataFrame) -> DataFrame:
+    """study_id, n_tokens, terms ARRAY<STRUCT<term, tf>>, bag (SHA-256 of the sorted tokens): the texts are
+    tokenised here and nowhere else; what follows reads this table, written once."""
+    rows = texts.select("study_id", tokenise("text").alias("t"))
+    bag = F.sha2(F.array_join(F.sort_array("t"), " "), 256)
+    return cut(rows.select("study_id", F.size("t").cast("bigint").alias("n_tokens"), counted(F.col("t")).alias("terms"), bag.alias("bag")))
+
+
+def weighted(read: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """study_id, term, tf, df, weight = tf / n_tokens * ln(N / (1 + df)) over the table of ``read_once``. The weight is
+    negative for a term of every study, as the definition says. ``of`` (study_id) narrows the
+    studies that get a vector; frequencies always come from all."""
+    n = read.agg(F.count("*")).scalar()
+    df = read.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    some = read if of is None else read.join(of, "study_id", "left_semi")
+    rows = some.select("study_id", "n_tokens", F.explode("terms").alias("c")).select("study_id", "n_tokens", "c.term", "c.tf")
+    return rows.join(df, "term").select(
+        "study_id", "term", "tf", "df", (F.col("tf") / F.col("n_tokens") * F.log(n / (1.0 + F.col("df")))).alias("weight"))
+
+
+def tfidf(texts: DataFrame) -> DataFrame:
+    """study_id, term, tf, df, weight: ``weighted`` over the texts."""
+    return weighted(read_once(texts))
 
 
 def top_terms(texts: DataFrame, k: int = 3) -> DataFrame:
@@ -69,17 +83,15 @@ def top_terms(texts: DataFrame, k: int = 3) -> DataFrame:
 
 # --- similarity ---------------------------------------------------------------
 
-def copies(texts: DataFrame) -> DataFrame:
+def copies(read: DataFrame) -> DataFrame:
     """study_id, rep: studies with the same bag of tokens share the smallest id."""
-    bag = F.sha2(F.array_join(F.sort_array(tokenise("text")), " "), 256)
-    rows = texts.select("study_id", bag.alias("bag"))
+    rows = read.select("study_id", "bag")
     return rows.join(rows.groupBy("bag").agg(F.min("study_id").alias("rep")), "bag").select("study_id", "rep")
 
 
-def unit_vectors(texts: DataFrame, reps: DataFrame) -> DataFrame:
+def unit_vectors(read: DataFrame, reps: DataFrame) -> DataFrame:
     """study_id, term, df, w: unit-length TF-IDF of the representative studies."""
-    kept = texts.join(reps.select(F.col("rep").alias("study_id")).distinct(), "study_id", "left_semi")
-    rows = tfidf(texts, term_counts(kept))
+    rows = weighted(read, reps.select(F.col("rep").alias("study_id")).distinct())
     norm = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy("study_id")))
     return rows.withColumn("norm", norm).filter(F.col("norm") > 0).select(
         "study_id", "term", "df", (F.col("weight") / F.col("norm")).alias("w"))
@@ -108,13 +120,35 @@ def exact_similarity(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return both.select("a", "b", F.aggregate(products, F.lit(0.0), lambda s, x: s + x).alias("similarity"))
 
 
+#: Norms of a study's commoner terms are kept for frequencies of 2^0, 2^1, ...
+GRID = 40
+
+
+def _tail_norms(rows: DataFrame) -> DataFrame:
+    """study_id, cut (the least frequency of a term that is not kept), norms ARRAY: the norm of the study's terms
+    of frequency 2^g or more, for each g."""
+    w2 = F.col("w") * F.col("w")
+    per = rows.groupBy("study_id", F.floor(F.log2("df")).cast("int").alias("g")).agg(
+        F.sum(w2).alias("s"), F.min(F.when(~F.col("kept"), F.col("df"))).alias("cut"))
+    lists = per.groupBy("study_id").agg(F.min("cut").alias("cut"), F.collect_list(F.struct("g", "s")).alias("l"))
+    norms = F.transform(F.sequence(F.lit(0), F.lit(GRID)), lambda g: F.sqrt(F.aggregate(
+        F.filter("l", lambda x: x["g"] >= g), F.lit(0.0), lambda t, x: t + x["s"])))
+    return lists.select("study_id", "cut", norms.alias("norms"))
+
+
 def _finish(met: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     """a, b, similarity above the threshold, from the products over kept terms (a, b, w_a,
-    w_b, rest_a, rest_b). Pairs that cannot reach it are dropped by the bound; for the
-    others the few terms outside the kept ones are added exactly."""
+    w_b, rest_a, rest_b). Pairs that cannot reach it are dropped by two bounds of what they share
+    outside the kept terms: the larger norm of the others, then the product of both norms from
+    the first term on that one of them does not keep. For the others these few terms are added exactly."""
     found = met.groupBy("a", "b").agg(F.sum(F.col("w_a") * F.col("w_b")).alias("p"),
                                       F.max(F.greatest("rest_a", "rest_b")).alias("rest"))
-    close = cut(found.filter(F.col("p") + F.col("rest") > threshold - MARGIN).select("a", "b", "p"))
+    norms = cut(_tail_norms(rows))
+    near = (found.filter(F.col("p") + F.col("rest") > threshold - MARGIN).select("a", "b", "p")
+            .join(norms.toDF("a", "ca", "na"), "a").join(norms.toDF("b", "cb", "nb"), "b")
+            .withColumn("g", F.floor(F.log2(F.least("ca", "cb"))).cast("int")))
+    outside = F.when(F.col("g").isNull(), F.lit(0.0)).otherwise(F.get("na", F.col("g")) * F.get("nb", F.col("g")))
+    close = cut(near.filter(F.col("p") + outside > threshold - MARGIN).select("a", "b", "p"))
     outside = rows.filter(~F.col("kept")).select("study_id", "term", "w")
     left = (close.select("a", "b").join(outside.toDF("a", "term", "x"), "a")
             .join(rows.select(F.col("study_id").alias("b"), "term", F.col("w").alias("y")), ["b", "term"]))
@@ -126,13 +160,14 @@ def _finish(met: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
     return close.join(extra, ["a", "b"], "left").select("a", "b", total.alias("similarity")).filter(F.col("similarity") > threshold)
 
 
-def similar_pairs(texts: DataFrame, threshold: float = 0.3, slack: float = 0.5) -> DataFrame:
+def similar_pairs(texts: DataFrame, threshold: float = 0.3, slack: float = 1.0) -> DataFrame:
     """a < b, similarity: every pair of distinct token bags above the threshold.
 
     Copies are folded first (``copies`` maps them back), so a bag held by a third of all
     studies is one row here. Exact for any ``slack``; it only moves work between meeting
     in more terms and finishing more candidates."""
-    rows = cut(prefix_split(unit_vectors(texts, copies(texts)), threshold, slack))
+    read = read_once(texts)
+    rows = cut(prefix_split(unit_vectors(read, copies(read)), threshold, slack))
     met = paired_within(rows.filter("kept").select("study_id", "term", "w", "rest"), "term", "study_id", ["w", "rest"])
     return _finish(met, rows, threshold)
 
@@ -155,7 +190,7 @@ def _member_pairs(pairs: DataFrame, members: DataFrame, block: int = BLOCK) -> D
                       F.when(up, F.col("wy")).otherwise(F.col("wx")).alias("w_b"), F.col("rx").alias("rest_a"), F.col("ry").alias("rest_b"))
 
 
-def study_clusters(texts: DataFrame, threshold: float = 0.3, slack: float = 0.5, spokes: int = 8) -> DataFrame:
+def study_clusters(texts: DataFrame, threshold: float = 0.3, slack: float = 1.0, spokes: int = 8) -> DataFrame:
     """study_id, cluster: single linkage over similarity above the threshold; the cluster
     is its smallest study id.
 
@@ -165,8 +200,9 @@ def study_clusters(texts: DataFrame, threshold: float = 0.3, slack: float = 0.5,
     the largest weight goes on: no pair of members can be more similar than these weights
     allow, so most pairs of components end there. Only for the others do members meet, which
     makes the result exact."""
-    copy_of = cut(copies(texts))
-    rows = cut(prefix_split(unit_vectors(texts, copy_of), threshold, slack))
+    read = read_once(texts)
+    copy_of = cut(copies(read))
+    rows = cut(prefix_split(unit_vectors(read, copy_of), threshold, slack))
     nodes = copy_of.select(F.col("rep").alias("study_id")).distinct()
     kept = rows.filter("kept")
 
@@ -200,33 +236,48 @@ def cluster_labels(texts: DataFrame, clusters: DataFrame, k: int = 3) -> DataFra
 
 # --- windowed co-occurrence ---------------------------------------------------
 
-def cooccurrence(texts: DataFrame, window: int = 5, min_df: int = 2) -> DataFrame:
-    """w1 <= w2, n: unordered pairs of kept words at most ``window`` token positions
-    apart. Distance counts all tokens; counts are summed before the vocabulary join."""
+def _token_table(texts: DataFrame) -> DataFrame:
+    return cut(texts.select(tokenise("text").alias("t")))
+
+
+def _kept_words(tokens: DataFrame, min_df: int) -> DataFrame:
+    """term, n (occurrences), df of the words of ``min_df`` studies or more; counted inside the row first."""
+    each = tokens.select(F.explode(counted(F.col("t"))).alias("c")).groupBy(F.col("c.term").alias("term")).agg(
+        F.sum("c.tf").alias("n"), F.count("*").alias("df"))
+    return each.filter(F.col("df") >= min_df)
+
+
+def _windowed(tokens: DataFrame, words: DataFrame, window: int) -> DataFrame:
     t = F.col("t")
     n = F.size(t)
     shifted = [F.arrays_zip(F.slice(t, F.lit(1), F.greatest(n - k, F.lit(0))).alias("x"),
                             F.slice(t, F.lit(k + 1), F.greatest(n - k, F.lit(0))).alias("y"))
                for k in range(1, window + 1)]
-    pairs = (texts.select(tokenise("text").alias("t"))
-             .select(F.explode(F.concat(*shifted)).alias("p"))
+    pairs = (tokens.select(F.explode(F.concat(*shifted)).alias("p"))
              .groupBy(F.least("p.x", "p.y").alias("w1"), F.greatest("p.x", "p.y").alias("w2"))
              .agg(F.count("*").alias("n")))
-    vocab = vocabulary(texts, min_df).select("term")
+    vocab = words.select("term")
     return (pairs.join(vocab.withColumnRenamed("term", "w1"), "w1", "left_semi")
             .join(vocab.withColumnRenamed("term", "w2"), "w2", "left_semi").select("w1", "w2", "n"))
 
 
+def cooccurrence(texts: DataFrame, window: int = 5, min_df: int = 2) -> DataFrame:
+    """w1 <= w2, n: unordered pairs of kept words at most ``window`` token positions
+    apart. Distance counts all tokens; counts are summed before the vocabulary join."""
+    tokens = _token_table(texts)
+    return _windowed(tokens, _kept_words(tokens, min_df), window)
+
+
 def word_counts(texts: DataFrame, min_df: int = 2) -> DataFrame:
     """term, n: occurrences of the kept vocabulary."""
-    rows = texts.select(F.explode(tokenise("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    return rows.join(vocabulary(texts, min_df).select("term"), "term", "left_semi")
+    return _kept_words(_token_table(texts), min_df).select("term", "n")
 
 
 def ppmi(texts: DataFrame, window: int = 5, min_df: int = 2) -> DataFrame:
-    """w1 < w2, n, ppmi (the positive entries; all others are 0)."""
-    pairs = cut(cooccurrence(texts, window, min_df))
-    words = cut(word_counts(texts, min_df))
+    """w1 < w2, n, ppmi (the positive entries; all others are 0). The texts are tokenised once."""
+    tokens = _token_table(texts)
+    words = cut(_kept_words(tokens, min_df).select("term", "n"))
+    pairs = cut(_windowed(tokens, words, window))
     total_pairs = pairs.agg(F.sum("n").cast("double")).scalar()
     total_words = words.agg(F.sum("n").cast("double")).scalar()
     rows = (pairs.filter(F.col("w1") < F.col("w2"))

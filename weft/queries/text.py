@@ -47,7 +47,7 @@ THRESHOLD = 0.3
 
 @query("copies", f"WITH {_COPIES} SELECT study_id, rep FROM bag")
 def copies(spark, folder):
-    return text.copies(tables.document_texts(spark, folder))
+    return text.copies(text.read_once(tables.document_texts(spark, folder)))
 
 
 @query("cosine_pairs", f"WITH {_PAIRS.format(t=THRESHOLD)} SELECT a, b, {R('similarity')} AS similarity FROM sim")
