@@ -12,9 +12,6 @@ from ..plans.lineage import cut
 from ..sources.documents import Evidence
 from .sentiment import sentence_rows
 
-#: What the reference keeps of a phrase.
-PHRASE_LENGTH = 120
-
 
 def causal_claims(parts: DataFrame, patterns=CAUSAL_PATTERNS, phrase_length: int | None = None) -> DataFrame:
     """study_id, part, sent, pattern, direction, cause, effect: the first match of each

@@ -179,7 +179,7 @@ _CLAIM = " UNION ALL ".join(
     f"regexp_extract(text, '(?is)^(|.*?{_B}){w}(?:$|{_B})', 1) AS b FROM sent WHERE regexp_matches(text, '(?is)(^|{_B}){w}($|{_B})')"
     for i, (w, s) in enumerate(WORDS))
 _EDGES = f"""{_SENT}, m AS ({_CLAIM}),
-cl AS (SELECT study_id, part, sent, pattern, direction, trim(right(trim(b), 120)) AS cause, trim(left(trim(substr(text, length(b) + n + 1)), 120)) AS effect FROM m),
+cl AS (SELECT study_id, part, sent, pattern, direction, trim(b) AS cause, trim(substr(text, length(b) + n + 1)) AS effect FROM m),
 claims AS (SELECT * FROM cl WHERE cause <> '' AND effect <> ''),
 bk AS (SELECT theme_id, ord, list_distinct({raw_tokens("label || ' ' || array_to_string(concepts, ' ')")}) AS t FROM th),
 ph AS (SELECT DISTINCT p, list_distinct({raw_tokens("p")}) AS t FROM (SELECT cause AS p FROM claims UNION SELECT effect FROM claims)),
@@ -191,7 +191,7 @@ e AS (SELECT cause_theme, effect_theme, arg_max(direction, (study_id, part, sent
 
 
 def _claims(spark, folder):
-    return causal.causal_claims(tables.document_parts(spark, folder), PATTERNS, causal.PHRASE_LENGTH)
+    return causal.causal_claims(tables.document_parts(spark, folder), PATTERNS)
 
 
 def _edges(spark, folder):
