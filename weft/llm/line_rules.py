@@ -10,9 +10,8 @@ from .common import WHITE, WORD, filled, let, stored, words_of
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
-#: A line may stand in this many different texts of a host, or in this share of them if that is more;
-#: no share (None): the count decides, whatever the size of the host.
-MOST_TEXTS, MOST_SHARE = 30, 0.02
+#: A line may stand in this many different texts of a host, whatever the size of the host.
+MOST_TEXTS = 30
 #: A document that keeps less than this share of its words is depleted.
 LEAST_LEFT = 0.5
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
@@ -58,16 +57,17 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("p"), F.xxhash64(F.lit(1), line).alias("q"))
 
 
-def judged(docs: DataFrame, most_texts: int = MOST_TEXTS, most_share: float | None = MOST_SHARE,
+def judged(docs: DataFrame, most_texts: int = MOST_TEXTS, most_share: float | None = None,
            least_left: float = LEAST_LEFT, keep: bool = False) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     n_removed_words, kept for every row; with ``keep`` also ``row`` (the whole input row)
     and ``frequent`` (hash keys of its lines above the limit).
 
     A line is above the limit in a host (``source``) if it stands in more than ``most_texts``
-    different texts of that host and, with a share, in more than ``most_share`` of them; copies
-    of one text count once. The share lets the limit grow with the host; with None it does not. A document fails if it has too few or too many repeated words, or if its
-    lines below the limits hold less than ``least_left`` of its words.
+    different texts of that host; copies of one text count once. (With ``most_share`` it must also stand
+    in more than that share of them, so that the limit grows with the host.) A document fails if it
+    has too few or too many repeated words, or if its lines below the limit hold less than
+    ``least_left`` of its words.
 
     A row goes through one pass over its text; what moves after that is 128 bits and a word
     count per line, pre-counted per task. A line of a third of all documents is one key of

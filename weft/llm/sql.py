@@ -56,9 +56,7 @@ lines AS (SELECT r, host, text, unnest(list_filter(ls, lambda x: regexp_matches(
 dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
 norms AS (SELECT r, host, text, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM lines),
-hosts AS (SELECT host, count(DISTINCT text) AS n_texts FROM docs GROUP BY host),
-often AS (SELECT host, line FROM norms JOIN hosts USING (host) GROUP BY host, line
-    HAVING count(DISTINCT text) > 30 AND count(DISTINCT text) > any_value(n_texts) * 0.02::DOUBLE),
+often AS (SELECT host, line FROM norms GROUP BY host, line HAVING count(DISTINCT text) > 30),
 removed AS (SELECT r, sum(len(string_split(line, ' ')))::BIGINT AS n FROM norms JOIN often USING (host, line) GROUP BY r),
 counted AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dups.n, 0) AS n_dup_lines,
