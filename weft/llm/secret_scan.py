@@ -23,10 +23,11 @@ BASE = (("assign", rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""
 #: kind, alphabet, characters of a window, least bits per character of a window.
 CLASSES = (("high_hex", "0123456789abcdefABCDEF", 24, 3.0),
            ("high_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 20, 3.7))
-#: A candidate that one of these matches as a whole is no secret: letters with joints (words, paths),
-#: digits with joints (dates, numbers), UUIDs, and words that end in a number.
-ALLOWED = (r"[-+/_=]*[A-Za-z]+(?:[-+/_=]+[A-Za-z]+)*[-+/_=]*", r"[-+/_=]*[0-9]+(?:[-+/_=]+[0-9]+)*[-+/_=]*",
-           r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?[0-9]{1,4}")
+#: A candidate that the first of a pair matches as a whole, and the second (if any) nowhere, is no secret: letters
+#: with joints (words, paths), digits with joints (dates, numbers), UUIDs, and words with single joints that end in a
+#: number. All loops are over one character class: those over groups take a stack frame a round in Java.
+ALLOWED = ((r"[-+/_=]*[A-Za-z][-+/_=A-Za-z]*", ""), (r"[-+/_=]*[0-9][-+/_=0-9]*", ""),
+           (r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", ""), (r"[A-Za-z][-_/A-Za-z]*[0-9]{1,4}", r"[-_/]{2}"))
 #: Entropies are compared as whole numbers of 2^-20 bits.
 SCALE = 1 << 20
 _BLOCK = 256
@@ -139,7 +140,12 @@ def scanned(docs: DataFrame, classes=CLASSES, allowed=ALLOWED) -> DataFrame:
         for i, (_, alphabet, width, _) in enumerate(classes)])
 
     def high(i, kind, alphabet, width, bits):
-        free = F.filter(F.col(f"c{i}"), lambda m: ~m["found"].rlike("^(?:" + "|".join(allowed) + ")$")) if allowed else F.col(f"c{i}")
+        def known(text):
+            out = F.lit(False)
+            for whole, never in allowed:
+                out = out | (text.rlike(f"^(?:{whole})$") & (~text.rlike(never) if never else F.lit(True)))
+            return out
+        free = F.filter(F.col(f"c{i}"), lambda m: ~known(m["found"]))
         return F.flatten(F.transform(free, lambda m: F.transform(windows(m["found"], alphabet, width, bits), lambda w: F.struct(
             (m["start"] + w["lo"]).alias("start"), (m["start"] + w["hi"]).alias("end"), F.lit(kind).alias("kind")))))
     extra = F.concat(*[high(i, *c) for i, c in enumerate(classes)])

@@ -85,7 +85,8 @@ def _base(kind: str, pattern: str, group: int, least: int) -> str:
 def _class(kind: str, alphabet: str, width: int, bits: float) -> str:
     pattern = "[" + alphabet.replace("-", "") + ("-" if "-" in alphabet else "") + "]{%d,}" % width
     sums = f"list_sum(list_transform(list_distinct(c), lambda x: {secret_scan.terms(width)}[len(list_filter(c, lambda y: y = x)) + 1]))"
-    allowed = " OR ".join(f"regexp_full_match(m, {_quote(a)})" for a in secret_scan.ALLOWED)
+    allowed = " OR ".join(f"regexp_full_match(m, {_quote(a)})" + (f" AND NOT regexp_matches(m, {_quote(b)})" if b else "")
+                          for a, b in secret_scan.ALLOWED)
     return f"""SELECT r, {_quote(kind)} AS kind, min(p) AS start, max(p) + {width} AS stop FROM (
       SELECT *, sum(CASE WHEN p > before + {width} THEN 1 ELSE 0 END) OVER (PARTITION BY r, start ORDER BY p) AS part FROM (
         SELECT *, lag(p, 1, p) OVER (PARTITION BY r, start ORDER BY p) AS before FROM (
