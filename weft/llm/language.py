@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -32,16 +33,12 @@ SCRIPTS = ((0x0, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armen
 _STARTS = np.array([s for s, _ in SCRIPTS])
 
 
-#: Code points from here on are taken for letters of the last script.
-TOP = 0x32400
-
-
 @cache
 def _letters() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point: is it a letter, and its lower case (itself if that is not one character)."""
-    lower = [chr(c).lower() for c in range(TOP)]
-    return (np.array([chr(c).isalpha() for c in range(TOP)] + [True]),
-            np.array([ord(x) if len(x) == 1 else c for c, x in enumerate(lower)] + [TOP], np.uint64))
+    """For each code point of all planes: is it a letter, and its lower case (itself if that is not one character)."""
+    every = [chr(c) for c in range(sys.maxunicode + 1)]
+    return (np.array([x.isalpha() for x in every]),
+            np.array([ord(y) if len(y := x.lower()) == 1 else ord(x) for x in every], np.uint64))
 
 
 @dataclass
@@ -58,7 +55,6 @@ class Words:
         """The words, and the place where each text begins."""
         codes = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
         is_letter, lower = _letters()
-        codes = np.minimum(codes, TOP)
         mask = is_letter[codes]
         edge = np.diff(mask.astype(np.int8), prepend=0, append=0)
         start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
