@@ -108,19 +108,36 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
     sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN said USING (r)"""
 
 CHUNKS = r"""WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
-lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i, len(ls) AS n FROM docs),
-hashed AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines),
-rolled AS (SELECT *, (h + 31 * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % 3 = 0 AS ends FROM hashed),
-numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM rolled),
-chunks AS (SELECT doc_id, pos, min(i) AS start, max(i) + 1 AS stop, string_agg(line, chr(10) ORDER BY i) AS bytes
-    FROM numbered GROUP BY doc_id, pos HAVING count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) > 1),
-gone AS (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY bytes ORDER BY doc_id, pos) > 1),
-per AS (SELECT doc_id, sum(stop - start) AS n, string_agg(start || ':' || stop, ',' ORDER BY start) AS removed FROM gone GROUP BY doc_id),
-stay AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM numbered
-    ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
-SELECT d.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(per.n, 0)::BIGINT AS n_removed_lines, coalesce(removed, '') AS removed,
-    CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(stay.text, '') END AS text
-FROM docs d LEFT JOIN per USING (doc_id) LEFT JOIN stay USING (doc_id)"""
+lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM docs),
+words AS (SELECT *, row_number() OVER d - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS m,
+    ('0x' || substr(md5(line), 1, 8))::BIGINT AS h, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 50 AS long
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+rolled AS (SELECT *, h + 31 * coalesce(lag(h) OVER d, 0) AS r, coalesce(lag(long) OVER d, true) AS long_before,
+    coalesce(lead(long) OVER d, true) AS long_after, coalesce(lead(long, 2) OVER d, true) AS long_later
+  FROM words WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+ended AS (SELECT *, k = m - 1 OR long OR long_after OR (NOT long_before AND NOT long_later
+    AND coalesce(r < lag(r) OVER d AND r <= lead(r) OVER d, false)) AS ends FROM rolled WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ended),
+chunks AS (SELECT doc_id, pos, list(i ORDER BY i) AS at, list(line ORDER BY i) AS ll, string_agg(line, chr(10) ORDER BY i) AS bytes,
+    count(*) > 1 OR bool_or(long) OR any_value(m) = 1 AS compared FROM numbered GROUP BY doc_id, pos),
+sided AS (SELECT *, lag(at) OVER d AS at_before, lag(ll) OVER d AS before, lead(at) OVER d AS at_after, lead(ll) OVER d AS after
+  FROM chunks WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+firsts AS (SELECT * FROM sided WHERE compared QUALIFY row_number() OVER (PARTITION BY bytes ORDER BY doc_id, pos) = 1),
+later AS (SELECT s.*, f.before AS f_before, f.after AS f_after FROM sided s JOIN firsts f USING (bytes)
+  WHERE s.compared AND (s.doc_id, s.pos) <> (f.doc_id, f.pos)),
+met AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(before), len(f_before)) + 1),
+      lambda j: before[len(before) - j + 1:] = f_before[len(f_before) - j + 1:])), 0) AS lead,
+    coalesce(list_max(list_filter(range(1, least(len(after), len(f_after)) + 1), lambda j: after[1:j] = f_after[1:j])), 0) AS trail FROM later),
+gone AS (SELECT DISTINCT doc_id, CASE WHEN lead > 0 THEN at_before[len(at_before) - lead + 1] ELSE at[1] END AS start,
+    CASE WHEN trail > 0 THEN at_after[trail] ELSE at[-1] END + 1 AS stop FROM met),
+cut AS (SELECT DISTINCT doc_id, unnest(range(start, stop)) AS i FROM gone),
+counted AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id),
+per AS (SELECT doc_id, string_agg(start || ':' || stop, ',' ORDER BY start, stop) AS removed FROM gone GROUP BY doc_id),
+stay AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS text FROM lines ANTI JOIN cut USING (doc_id, i)
+  GROUP BY doc_id HAVING bool_or(regexp_matches(line, '[^\x20\x09-\x0D]')))
+SELECT d.doc_id, coalesce(len(ls), 0) AS n_lines, coalesce(counted.n, 0)::BIGINT AS n_removed_lines, coalesce(removed, '') AS removed,
+    CASE WHEN per.removed IS NULL THEN d.text ELSE coalesce(stay.text, '') END AS text
+FROM docs d LEFT JOIN per USING (doc_id) LEFT JOIN counted USING (doc_id) LEFT JOIN stay USING (doc_id)"""
 
 #: Pieces and words, counts of all phrases of one to five words, candidates with their cuts, and the rank.
 COLLOCATIONS = r"""
