@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import chunk_dedup, forest, language, line_crf, line_rules, mixing, packing, secret_scan, sharding, simhash
+from weft.llm import (alignment, chunk_dedup, collocation, forest, language, line_crf, line_rules, mixing, packing, secret_scan,
+                      sharding, simhash, substring_dedup)
 
 LONG = "\n".join(f"line {i} of a very long text, with word{i % 700} and token = \"k{i:06d}x\"" for i in range(6000))
 ROWS = [(1, "one two three four five six\nseven eight nine", "en", "a", 3, 9, "x"), (2, None, "en", "a", None, 8, None), (3, "", None, None, 0, 7, "y"),
@@ -22,9 +23,11 @@ def of_quality(docs):
 
 
 PER_ROW = {"secrets": secret_scan.scanned, "shards": sharding.interleaved, "mix": mixing.rates, "rules": line_rules.judged,
-           "chunks": chunk_dedup.deduplicated, "simhash": simhash.near_duplicates, "language": of_language, "quality": of_quality}
+           "chunks": chunk_dedup.deduplicated, "simhash": simhash.near_duplicates, "language": of_language, "quality": of_quality,
+           "alignment": alignment.alignment, "substrings": substring_dedup.deduplicated}
 PER_TABLE = {"packing": packing.packed, "cleaned": line_rules.cleaned, "mixed": mixing.mixed,
-             "without_repeats": chunk_dedup.without_repeats, "one_of_each": simhash.one_of_each}
+             "without_repeats": chunk_dedup.without_repeats, "one_of_each": simhash.one_of_each,
+             "collocations": collocation.collocations}
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +64,26 @@ def test_vectors(spark):
     want = [(1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (None, 3, 1, False), (11, 1, 11, True), (12, 1, 11, False), *lone]
     assert got == sorted(want, key=str)
     assert forest.near_duplicates(df.filter("false")).collect() == []
+
+
+MEGA = 1_000_000
+RUNS = ["ab-" * (MEGA // 3), "1-" * (MEGA // 2), "=" * MEGA, "a1-" * (MEGA // 3), "A/" * (MEGA // 2) + "9", "z" * MEGA, "0" * MEGA, "f0" * (MEGA // 2)]
+
+
+def test_unbroken_runs(spark):
+    """Runs of a megabyte of every class: a pattern that recurses would end the executor."""
+    docs = spark.createDataFrame(list(enumerate(RUNS)), "doc_id bigint, text string").repartition(8)
+    got = {r["doc_id"]: (r["base"], r["extra"]) for r in secret_scan.scanned(docs).collect()}
+    assert [len(got[i][0]) for i in range(len(RUNS))] == [0, 0, 0, 0, 0, 0, 1, 1]
+    assert all(not got[i][1] for i in range(len(RUNS)))
+    assert len(packing.packed(docs).filter("piece = 0").collect()) == len(RUNS)
+    assert len(substring_dedup.deduplicated(docs).collect()) == len(RUNS)
+
+
+def test_letters_of_all_planes(spark):
+    texts = ["\U000E0100" * 5, "\U000F0000", "\U0010FFFD x", "𐐨𐐨 𐐨", "1234 !?", "plain words of some text"]
+    learned_from = [(10 + i, "plain words of some text " * 3, "en") for i in range(20)] + [(40 + i, "einige deutsche Wörter und Sätze " * 3, "de") for i in range(20)]
+    model = language.learned(spark.createDataFrame(learned_from, "doc_id bigint, text string, lang string"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.labelled(docs, model).collect()}
+    assert got[0] == got[1] == got[4] == "und" and got[2] != "und" and got[3] != "und" and got[5] == "en"

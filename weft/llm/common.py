@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import checkpoint_folder, cut
+from ..plans.components import star_roots as components  # noqa: F401
+from ..plans.lineage import checkpoint_folder
 
 #: A word is a run of characters other than these (blank, \t \n \v \f \r).
 WHITE = r"[\x20\x09-\x0D]+"
@@ -52,6 +54,13 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets go of what finished jobs hold: Spark deletes the shuffle files of plans that nothing refers to
+    any more when the driver collects garbage, which a small heap may put off for long."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def salted_join(rows: DataFrame, one: DataFrame, keys: list[str], share: int = 1024) -> DataFrame:
     """rows joined with ``one``, which has one row per key. A key with more than 1 / ``share`` of the
     rows is dealt over salts, so no task gets more than that of one key; there are at most
@@ -81,39 +90,3 @@ def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
     return (placed.withColumn("_ranked_part", part).join(F.broadcast(starts), "_ranked_part")
             .withColumn(name, F.col("_ranked_start") + F.col("_ranked_at").bitwiseAND(F.lit((1 << 33) - 1)))
             .drop("_ranked_part", "_ranked_start", "_ranked_at"))
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """node, root: the smallest node that links reach, for every node of an edge (a, b).
-
-    Alternating star contraction: a node hands its larger neighbours to its smallest one,
-    then each node links its smaller neighbours to the smallest. Stars of a component merge
-    until one is left, in a number of rounds logarithmic in its size; only keys and minima
-    move, and a hub's rows are never gathered in one place."""
-    def neighbours(e):
-        return e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-    def sums(e):
-        return e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-
-    def star(rows, keep_equal):
-        """(b, smallest neighbour of a) for each row; the nodes themselves join their star."""
-        least = rows.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        out = rows.join(least, "a")
-        out = out if keep_equal else out.filter(F.col("b") > F.col("a"))
-        moved = out.select(F.col("b").alias("x"), F.col("m").alias("y"))
-        if keep_equal:
-            moved = moved.unionByName(least.select(F.col("a").alias("x"), F.col("m").alias("y")))
-        return (moved.filter(F.col("x") != F.col("y"))
-                .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-
-    now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-              .filter(F.col("a") != F.col("b")).distinct())
-    seen = sums(now)
-    for _ in range(max_rounds):
-        now = cut(star(cut(star(neighbours(now), False)), True))
-        last, seen = seen, sums(now)
-        if seen == last:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
