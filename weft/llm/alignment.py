@@ -90,7 +90,7 @@ def tokens(a_model: str = A_MODEL, b_model: str = B_MODEL) -> Tokens:
 
 
 def _starts(ends: np.ndarray) -> np.ndarray:
-    return np.append(0, ends[:-1])
+    return np.append(np.zeros(1, np.int64), ends)[:len(ends)]
 
 
 def _expanded(owner, a, b, a_from, b_from, n_a, n_b, scale: int) -> np.ndarray:
@@ -158,7 +158,7 @@ def _of_texts(texts: list[str | None], t: Tokens) -> dict[str, list]:
         lo = hi
 
     scale = max(len(t.a_bytes), len(t.b_bytes))
-    single = (n_a == 1) & (n_b == 1) if len(n_a) else np.zeros(0, bool)
+    single = (n_a == 1) & (n_b == 1)
     single &= t.same[a[a_from]] == b[b_from]
     plain = (owner[single] * scale + a[a_from[single]]) * scale + b[b_from[single]]
     odd = ~single
