@@ -203,6 +203,30 @@ def test_axial_categories(spark):
     assert got == {"a b": "a b", "b c": "a b", "d e": "e f", "e f": "e f"}
 
 
+def test_axial_merges_by_recounting(spark):
+    """Rounds of mutually best pairs, with all shared studies counted anew in each."""
+    import random
+    rng = random.Random(4)
+    held = {f"c{i:02d} x": set(rng.sample(range(14), rng.randint(2, 6))) for i in range(26)}
+    order = {k: n for n, k in enumerate(sorted(held, key=lambda k: (-len(held[k]), k)))}
+    groups, names, rounds = {order[k]: set(s) for k, s in held.items()}, {order[k]: [k] for k in held}, 0
+    while True:
+        keys = {(a, b): (-len(groups[a] & groups[b]) / max(len(groups[a]), len(groups[b])), a, b) for a in groups for b in groups if a < b}
+        best = {c: min((k for p, k in keys.items() if c in p and -k[0] >= 0.45), default=None) for c in groups}
+        mutual = [k for k in set(best.values()) if k is not None and best[k[1]] == best[k[2]]]
+        if not mutual:
+            break
+        rounds += 1
+        for _, a, b in mutual:
+            groups[a] |= groups.pop(b)
+            names[a] += names.pop(b)
+    first = {n: k for k, n in order.items()}
+    want = {k: first[n] for n, ks in names.items() for k in ks}
+    assert rounds > 2 and 1 < len(groups) < 20
+    m = spark.createDataFrame([(k, len(v), s) for k, v in held.items() for s in v], "label string, frequency int, study_id int")
+    assert {l: c for l, c, _ in rows(grounded.axial_categories(m, 0.45))} == want
+
+
 def test_dialectic(make):
     ev = make({"P": ["s1", "s3"], "N": ["s2", "s3"], "B": ["s1", "s2"]}, ["s1", "s2", "s3"],
               texts={"s1": ["a helpful benefit"], "s2": ["a barrier and a burden"], "s3": []})

@@ -1,7 +1,5 @@
 """Queries over codes, opposed themes and storylines."""
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from ..operators import dialectic, grounded, narrative
@@ -48,37 +46,15 @@ def code_cooccurrence(spark, folder):
         F.count("*").alias("partners"), F.sum("shared").alias("shared"), F.max("shared").alias("most"))
 
 
-@lru_cache(maxsize=2)
-def _text_categories(spark, folder):
-    """The category studies of the text codes and the axial table, made once per session and folder."""
-    members = _members(spark, folder)
-    axial = cut(grounded.axial_categories(members))
-    return axial, cut(grounded.category_studies(members, axial))
-
-
 @query("axial_categories")
 def axial_categories(spark, folder):
-    """Categories of all code classes of the texts (rounds of merges: no SQL)."""
-    return _text_categories(spark, folder)[0]
-
-
-@query("text_category_scores")
-def text_category_scores(spark, folder):
-    return rounded(grounded.category_scores(_text_categories(spark, folder)[1]), "degree", "score")
-
-
-@query("text_core_category")
-def text_core_category(spark, folder):
-    return grounded.core_category(grounded.category_scores(_text_categories(spark, folder)[1]))
-
-
-@query("text_sampling")
-def text_sampling(spark, folder):
-    n = tables.document_texts(spark, folder).agg(F.count("*")).scalar()
-    return grounded.theoretical_sampling(_text_categories(spark, folder)[1], n)
+    """Categories of the event buckets by their users (rounds of merges: no SQL)."""
+    links = incidence(tables.events_evidence(spark, folder).theme_studies).withColumnRenamed("theme_id", "label")
+    sizes = links.groupBy("label").agg(F.count("*").alias("frequency"))
+    return grounded.axial_categories(cut(links.join(sizes, "label").select("label", "frequency", "study_id")))
 
 
-# the same measures over given categories (nations and regions by customers), which SQL can check
+# measures over given categories (nations and regions by customers), which SQL can check
 
 def _held(spark, folder):
     ev = tables.customers_evidence(spark, folder)

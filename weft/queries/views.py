@@ -1,7 +1,7 @@
 """The evidence views of ``weft.sources.tables`` as SQL common table expressions."""
 
 from ..functions.lexicons import STOPWORDS
-from ..sources.tables import CODEBOOK, DAYS
+from ..sources.tables import CODEBOOK, DAYS, TURNS
 
 
 def quoted(words) -> str:
@@ -56,7 +56,7 @@ tq AS (SELECT DISTINCT 'T' || ((conv_id + turn) % {_N - 2}) AS theme_id, conv_id
 lines AS (SELECT doc_id AS study_id, unnest(string_split(text, chr(10))) AS text,
             unnest(range(len(string_split(text, chr(10))))) AS part FROM documents),
 parts AS (SELECT study_id, part, text FROM lines
-          UNION ALL SELECT study_id, turn + 1000000, text FROM quotes)
+          UNION ALL SELECT study_id, turn + {TURNS}, text FROM quotes)
 """
 
 

@@ -78,12 +78,15 @@ def document_quotes(spark: SparkSession, folder: str) -> DataFrame:
         F.concat_ws("-", "conv_id", "turn").alias("quote_id"), "text")
 
 
+TURNS = 1 << 30  # parts from here on are turns: no text has so many lines
+
+
 def document_parts(spark: SparkSession, folder: str) -> DataFrame:
     """study_id, part, text over document lines, then conversation turns."""
     lines = documents(spark, folder).select(
         F.col("doc_id").alias("study_id"), F.posexplode(F.split("text", "\n")).alias("part", "text"))
     turns = document_quotes(spark, folder).select(
-        "study_id", (F.col("pos") + 1000000).cast("int").alias("part"), "text")
+        "study_id", (F.col("pos") + TURNS).cast("int").alias("part"), "text")
     return lines.unionByName(turns)
 
 
