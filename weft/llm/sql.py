@@ -118,9 +118,9 @@ rolled AS (SELECT *, h + 31 * coalesce(lag(h) OVER d, 0) AS r, coalesce(lag(long
 ended AS (SELECT *, k = m - 1 OR long OR long_after OR (NOT long_before AND NOT long_later
     AND coalesce(r < lag(r) OVER d AND r <= lead(r) OVER d, false)) AS ends FROM rolled WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 numbered AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM ended),
-chunks AS (SELECT doc_id, pos, list(i ORDER BY i) AS at, list(line ORDER BY i) AS ll, string_agg(line, chr(10) ORDER BY i) AS bytes,
+chunks AS (SELECT doc_id, pos, list(i ORDER BY i) AS nums, list(line ORDER BY i) AS ll, string_agg(line, chr(10) ORDER BY i) AS bytes,
     count(*) > 1 OR bool_or(long) OR any_value(m) = 1 AS compared FROM numbered GROUP BY doc_id, pos),
-sided AS (SELECT *, lag(at) OVER d AS at_before, lag(ll) OVER d AS before, lead(at) OVER d AS at_after, lead(ll) OVER d AS after
+sided AS (SELECT *, lag(nums) OVER d AS nums_before, lag(ll) OVER d AS before, lead(nums) OVER d AS nums_after, lead(ll) OVER d AS after
   FROM chunks WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
 firsts AS (SELECT * FROM sided WHERE compared QUALIFY row_number() OVER (PARTITION BY bytes ORDER BY doc_id, pos) = 1),
 later AS (SELECT s.*, f.before AS f_before, f.after AS f_after FROM sided s JOIN firsts f USING (bytes)
@@ -128,8 +128,8 @@ later AS (SELECT s.*, f.before AS f_before, f.after AS f_after FROM sided s JOIN
 met AS (SELECT *, coalesce(list_max(list_filter(range(1, least(len(before), len(f_before)) + 1),
       lambda j: before[len(before) - j + 1:] = f_before[len(f_before) - j + 1:])), 0) AS lead,
     coalesce(list_max(list_filter(range(1, least(len(after), len(f_after)) + 1), lambda j: after[1:j] = f_after[1:j])), 0) AS trail FROM later),
-gone AS (SELECT DISTINCT doc_id, CASE WHEN lead > 0 THEN at_before[len(at_before) - lead + 1] ELSE at[1] END AS start,
-    CASE WHEN trail > 0 THEN at_after[trail] ELSE at[-1] END + 1 AS stop FROM met),
+gone AS (SELECT DISTINCT doc_id, CASE WHEN lead > 0 THEN nums_before[len(nums_before) - lead + 1] ELSE nums[1] END AS start,
+    CASE WHEN trail > 0 THEN nums_after[trail] ELSE nums[-1] END + 1 AS stop FROM met),
 cut AS (SELECT DISTINCT doc_id, unnest(range(start, stop)) AS i FROM gone),
 counted AS (SELECT doc_id, count(*) AS n FROM cut GROUP BY doc_id),
 per AS (SELECT doc_id, string_agg(start || ':' || stop, ',' ORDER BY start, stop) AS removed FROM gone GROUP BY doc_id),
