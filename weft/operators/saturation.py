@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import entropy_of, entropy_term, log_choose, safe_div
+from ..functions.columns import entropy_of, entropy_term, let, log_choose, log_factorial, safe_div
 from ..functions.lexicons import REFLEXIVITY_ADVICE
 from ..plans.lineage import cut
 from ..plans.pairs import incidence, sizes
@@ -124,16 +124,18 @@ def rarefaction_curve(ev: Evidence) -> DataFrame:
     One row per study number; the abundance histogram rides along as an array
     (never longer than the codebook), so there is no join."""
     n = ev.studies.agg(F.count("*")).scalar()
-    hist = abundances(ev).agg(
-        F.collect_list(F.struct(F.col("abundance").cast("double").alias("a"),
-                                F.col("f").cast("double").alias("f")))).scalar()
+    hist = abundances(ev).withColumn("n", n.cast("double")).agg(
+        F.collect_list(F.struct(F.col("abundance").cast("double").alias("a"), F.col("f").cast("double").alias("f"),
+                                log_factorial(F.col("n") - F.col("abundance")).alias("l")))).scalar()
     m = F.col("m").cast("double")
     rows = numbered(ev.studies.select("ord"), "ord", "m").select("m", n.cast("double").alias("n"),
                                                                 hist.alias("hist"))
-    seen = F.aggregate("hist", F.lit(0.0), lambda acc, h: acc + h["f"] * (
-        1 - F.when(F.col("n") - h["a"] >= m,
-                   F.exp(log_choose(F.greatest(F.col("n") - h["a"], m), m) - log_choose(F.col("n"), m)))
-        .otherwise(F.lit(0.0))))
+    # log choose(n - a, m) - log choose(n, m); what does not depend on the abundance is found once a row
+    once = F.struct(log_factorial(m).alias("m"), log_choose(F.col("n"), m).alias("all"))
+    seen = let(once, lambda o: F.aggregate("hist", F.lit(0.0), lambda acc, h: acc + h["f"] * (
+        1 - F.when(F.col("n") - h["a"] >= m, F.exp(
+            h["l"] - o["m"] - log_factorial(F.greatest(F.col("n") - h["a"], m) - m) - o["all"]))
+        .otherwise(F.lit(0.0)))))
     return rows.select("m", seen.alias("expected_themes"))
 
 
