@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from check_oracle import TABLES, compare
 from weft.functions.columns import log_factorial
+from weft.operators.argument import unit_themes
+from weft.plans.codebook import containing
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -35,3 +37,16 @@ def test_log_factorials_as_in_c(spark):
     con = duckdb.connect()
     wrong = [r for r in ours if r["id"] >= 32 and con.execute("SELECT lgamma(?::DOUBLE)", [r["id"] + 1.0]).fetchone()[0] != r["l"]]
     assert not wrong
+
+
+def test_mentions_leave_their_texts(spark, make):
+    """A text is not shuffled to tell its mentions apart, and a theme of both the study and the text comes once."""
+    ev = make({"A": ["s1"], "B": []}, ["s1", "s2"], labels={"A": "alpha", "B": "beta"})
+    units = spark.createDataFrame([("s1", 0, 0, "claim", "Alpha beta alpha"), ("s2", 0, 0, "evidence", "ALPHA"), ("s2", 0, 1, "claim", "none")],
+                                  "study_id string, part int, unit int, type string, text string")
+    words = spark.createDataFrame([("A", "alpha"), ("A", "alph"), ("B", "beta")], "theme_id string, word string")
+    met = containing(units, words)
+    assert "text" not in met.columns
+    assert sorted(tuple(r) for r in met.collect()) == [("s1", 0, 0, "claim", "A"), ("s1", 0, 0, "claim", "B"), ("s2", 0, 0, "evidence", "A")]
+    assert sorted(tuple(r) for r in unit_themes(ev, units).collect()) == [
+        ("s1", 0, 0, "claim", "A"), ("s1", 0, 0, "claim", "B"), ("s2", 0, 0, "evidence", "A")]
