@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from check_oracle import TABLES, compare
 from weft.functions.columns import log_factorial
 from weft.operators.argument import unit_themes
+from weft.operators.temporal import influence_degree
 from weft.plans.codebook import containing
 
 SMALL = "/root/testdata/sf0.001"
@@ -50,3 +51,15 @@ def test_mentions_leave_their_texts(spark, make):
     assert sorted(tuple(r) for r in met.collect()) == [("s1", 0, 0, "claim", "A"), ("s1", 0, 0, "claim", "B"), ("s2", 0, 0, "evidence", "A")]
     assert sorted(tuple(r) for r in unit_themes(ev, units).collect()) == [
         ("s1", 0, 0, "claim", "A"), ("s1", 0, 0, "claim", "B"), ("s2", 0, 0, "evidence", "A")]
+
+
+def test_influence_over_many_years_and_none(spark, make):
+    """More years than are summed at once, and studies without a year, which are neither earlier nor later."""
+    names = [f"s{i}" for i in range(60)]
+    years = {s: None if i % 9 == 4 else 1990 + i * 7 % 40 for i, s in enumerate(names)}
+    held = {f"T{k}": [s for i, s in enumerate(names) if (i * i + 3 * k) % (k + 2) == 0] for k in range(7)}
+    ev = make(held, names, years=years)
+    of = {s: {t for t, ss in held.items() if s in ss} for s in names}
+    want = {s: sum(years[s] is not None and years[o] is not None and years[s] < years[o] and bool(of[s] & of[o]) for o in names) for s in names}
+    for narrow in (12, 3):
+        assert {r["study_id"]: r["degree"] for r in influence_degree(ev, narrow).collect()} == want

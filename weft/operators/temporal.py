@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp, entropy_of, entropy_term, let, safe_div
 from ..plans.lineage import cut
 from ..plans.pairs import incidence, theme_pairs
+from ..plans.prefix import numbered
 from ..sources.documents import Evidence
 
 #: Pairs of studies with this many themes each, or fewer, are counted through theme subsets.
 NARROW = 12
+#: Parts of the themes that subsets are summed by, and years that are summed at once.
+PARTS, YEARS = 4, 16
 
 
 def yearly(ev: Evidence) -> DataFrame:
@@ -66,35 +69,63 @@ def influence_edges(ev: Evidence) -> DataFrame:
     return rows.join(later, "theme_id").filter("year < later").select(F.col("study_id").alias("source"), "target").distinct()
 
 
+def _subset_counts(counts: DataFrame, years: list[str]) -> DataFrame:
+    """s and a column per year: how many studies of the year have a theme of s, for the sets s of counts (s, a
+    column per year with the studies of exactly this set) and all their subsets but the empty one.
+
+    First the studies that have all themes of s are summed, then these sums over the subsets of s with alternating signs.
+    Both go by a part of the themes at a time, so a set meets its subsets within one part and never all of them, and equal
+    subsets are one row after each part."""
+    def within(part: int) -> Column:
+        split = F.struct(F.filter("s", lambda t: t % PARTS == part).alias("i"), F.filter("s", lambda t: t % PARTS != part).alias("o"))
+        return F.explode(let(split, lambda x: F.transform(
+            F.sequence(F.lit(0).cast("bigint"), F.pow(F.lit(2), F.size(x["i"])).cast("bigint") - 1),
+            lambda m: F.array_sort(F.concat(x["o"], F.filter(x["i"], lambda t, k: (
+                F.floor(m / F.pow(F.lit(2), k)).cast("bigint") % 2) == 1))))))
+    sums = [F.sum(y).alias(y) for y in years]
+    for part in range(PARTS):
+        counts = cut(counts.select(within(part).alias("s"), *years).groupBy("s").agg(*sums))
+    odd = F.size("s") % 2 == 1
+    counts = counts.filter(F.size("s") > 0).select("s", *[F.when(odd, F.col(y)).otherwise(-F.col(y)).alias(y) for y in years])
+    for part in range(PARTS):
+        met = counts.select(F.col("s").alias("x"), within(part).alias("s")).join(counts, "s")
+        counts = cut(met.groupBy(F.col("x").alias("s")).agg(*sums))
+    return counts
+
+
 def influence_degree(ev: Evidence, narrow: int = NARROW) -> DataFrame:
     """study_id, degree: number of later studies that share a theme.
 
-    Studies are folded by (theme set, year). Among the classes of up to ``narrow`` themes,
-    those after year y that meet a set X are counted by inclusion and exclusion over the
-    subsets of X: each class emits its subsets once, so the work grows with the classes and
-    not with the pairs. A class with more themes meets the others theme by theme, and costs
-    its own pairs only."""
-    per_study = incidence(ev.theme_studies).groupBy("study_id").agg(F.array_sort(F.collect_set("theme_id")).alias("themes"))
-    rows = per_study.join(ev.studies.select("study_id", "year"), "study_id")
-    classes = rows.groupBy("themes", "year").agg(F.count("*").alias("n"))
-    classes = cut(classes.withColumn("c", F.sha2(F.concat_ws("\x01", F.concat("themes", F.array(F.col("year").cast("string")))), 256)))
-    few = classes.filter(F.size("themes") <= narrow)
-    subsets = F.expr("transform(sequence(1L, shiftleft(1L, size(themes)) - 1), m -> struct("
-                     "filter(themes, (t, i) -> (shiftright(m, i) & 1) = 1) AS s, bit_count(m) AS k))")
-    parts = few.select("c", "year", "n", F.explode(subsets).alias("u")).select("c", "year", "n", "u.s", "u.k")
+    Studies are folded by (theme set, year). Among the sets of up to ``narrow`` themes, those that meet a
+    set are counted by inclusion and exclusion over its subsets (``_subset_counts``), for some years at a time: the work
+    grows with the different subsets and not with the pairs. A set with more themes meets the others
+    theme by theme, and costs its own pairs only. A study without a year is neither earlier nor later."""
+    links = incidence(ev.theme_studies)
+    names = cut(numbered(links.select("theme_id").distinct(), "theme_id", "t").select("theme_id", F.col("t").cast("int").alias("t")))
+    per_study = links.join(names, "theme_id").groupBy("study_id").agg(F.array_sort(F.collect_list("t")).alias("s"))
+    rows = cut(per_study.join(ev.studies.select("study_id", "year").filter("year IS NOT NULL"), "study_id"))
+    classes = cut(rows.groupBy("s", "year").agg(F.count("*").alias("n")))
+    few = classes.filter(F.size("s") <= narrow)
+    years = sorted(r["year"] for r in classes.select("year").distinct().collect())
+    meets = classes.select("s", "year", F.lit(0).cast("bigint").alias("n")).limit(0)
+    sets = few.select("s").distinct()
+    for at in range(0, len(years), YEARS):
+        some = {f"y{y}": y for y in years[at:at + YEARS]}
+        counts = few.groupBy("s").agg(*[F.coalesce(F.sum(F.when(F.col("year") == y, F.col("n"))), F.lit(0)).alias(c) for c, y in some.items()])
+        found = _subset_counts(counts, list(some)).join(sets, "s", "left_semi")
+        meets = meets.unionByName(found.select("s", F.explode(F.array(*[F.struct(F.lit(y).cast(classes.schema["year"].dataType).alias(
+            "year"), F.col(c).alias("n")) for c, y in some.items()])).alias("y")).select("s", "y.*"))
     later = Window.partitionBy("s").orderBy(F.desc("year")).rowsBetween(Window.unboundedPreceding, -1)
-    after = parts.groupBy("s", "year").agg(F.sum("n").alias("n")).select(
-        "s", "year", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("after"))
-    sign = F.when(F.col("k") % 2 == 1, F.col("after")).otherwise(-F.col("after"))
-    among_few = parts.join(after, ["s", "year"]).groupBy("c").agg(F.sum(sign).alias("degree"))
-    item = classes.select("c", "year", "n", (F.size("themes") > narrow).alias("wide"), F.explode("themes").alias("t"))
-    wide = item.filter("wide").select(F.col("c").alias("d"), F.col("year").alias("y"), F.col("n").alias("m"), "t")
-    met = item.join(wide, "t").filter("year <> y").select("c", "year", "n", "wide", "d", "y", "m").distinct()
-    with_wide = met.filter("year < y").select("c", F.col("m").alias("k")).unionByName(
-        met.filter("year > y and not wide").select(F.col("d").alias("c"), F.col("n").alias("k")))
-    reach = (among_few.unionByName(with_wide.groupBy("c").agg(F.sum("k").alias("degree"))).groupBy("c")
-             .agg(F.sum("degree").alias("degree")).join(classes, "c").select("themes", "year", "degree"))
-    found = rows.join(reach, ["themes", "year"]).select("study_id", "degree")
+    among_few = meets.select("s", "year", F.coalesce(F.sum("n").over(later), F.lit(0)).alias("k"))
+    item = classes.select("s", "year", "n", F.explode("s").alias("t"))
+    wide = item.filter(F.size("s") > narrow).select(F.col("s").alias("w"), F.col("year").alias("y"), F.col("n").alias("m"), "t")
+    # sets with several common themes meet in the first of them only
+    met = item.join(wide, "t").filter((F.col("year") != F.col("y")) & (F.col("t") == F.array_min(F.array_intersect("s", "w"))))
+    with_wide = met.filter("year < y").select("s", "year", F.col("m").alias("k")).unionByName(
+        met.filter((F.col("year") > F.col("y")) & (F.size("s") <= narrow)).select(
+            F.col("w").alias("s"), F.col("y").alias("year"), F.col("n").alias("k")))
+    reach = among_few.unionByName(with_wide).groupBy("s", "year").agg(F.sum("k").alias("degree"))
+    found = rows.join(reach, ["s", "year"]).select("study_id", "degree")
     return ev.studies.select("study_id").join(found, "study_id", "left").select(
         "study_id", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
 
