@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, filled, let, stored
+from .common import WORD, filled, let, released, removed, stored, stored_at
 
 #: Lines that a rolling hash covers, and what weighs an earlier line in it.
 WINDOW, BASE = 2, 31
@@ -83,14 +83,16 @@ def _equal_ends(own: Column, other: Column, back: bool) -> Column:
 
 def _removed(marked: DataFrame, window: int, lone: int) -> DataFrame:
     """id, text_key, gone: sorted spans of lines (start, end) of the chunks that an earlier document, or an
-    earlier place of the same, has. marked: id, text_key, text."""
-    key = ["id", "text_key"]
+    earlier place of the same, has. marked: id, text_key, text. Stored; what its jobs wrote and shuffled, the
+    texts among it, is gone before the caller shuffles the texts once more."""
+    key, spark = ["id", "text_key"], marked.sparkSession
+    released(spark)
 
     def hashed(lines):
         return let(chunks(F.col("text"), window, lone), lambda cs: F.transform(cs, lambda c: F.when(c["compared"], F.xxhash64(_bytes(lines, c["places"])))))
-    seen = stored(marked.select(*key, let(F.split("text", "\n"), hashed).alias("hashes")).filter(F.exists("hashes", lambda h: h.isNotNull())).distinct())
+    seen, seen_at = stored_at(marked.select(*key, let(F.split("text", "\n"), hashed).alias("hashes")).filter(F.exists("hashes", lambda h: h.isNotNull())).distinct())
     each = seen.select(*key, F.posexplode("hashes").alias("pos", "hash")).filter("hash IS NOT NULL")
-    often = stored(each.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
+    often, often_at = stored_at(each.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
     open_ = each.join(often, "hash").groupBy(*key).agg(F.collect_list(F.struct("pos", "hash")).alias("open"))
 
     def opened(lines):
@@ -105,9 +107,12 @@ def _removed(marked: DataFrame, window: int, lone: int) -> DataFrame:
                                 digests(before).alias("before"), digests(after).alias("after"))
             return F.transform("open", of_one)
         return let(chunks(F.col("text"), window, lone), of_chunks)
-    met = stored(marked.select(*key, "text").join(open_, key).dropDuplicates(key).select(*key, F.explode(let(F.split("text", "\n"), opened)).alias("c")).select(*key, "c.*"))
+    met, met_at = stored_at(marked.select(*key, "text").join(open_, key).dropDuplicates(key).select(*key, F.explode(let(F.split("text", "\n"), opened)).alias("c")).select(*key, "c.*"))
+    for at in (seen_at, often_at):
+        removed(spark, at)
+    released(spark)
     place = F.struct("id", "text_key", "pos")
-    firsts = stored(met.groupBy("hash", "bytes").agg(F.min(F.struct("id", "text_key", "pos", "before", "after")).alias("first"), F.count("*").alias("n")).filter(
+    firsts, firsts_at = stored_at(met.groupBy("hash", "bytes").agg(F.min(F.struct("id", "text_key", "pos", "before", "after")).alias("first"), F.count("*").alias("n")).filter(
         "n > 1").drop("n"))
     later = met.join(firsts, ["hash", "bytes"]).filter(place != F.struct("first.id", "first.text_key", "first.pos"))
     lead = _equal_ends(F.col("before"), F.col("first.before"), True)
@@ -115,7 +120,11 @@ def _removed(marked: DataFrame, window: int, lone: int) -> DataFrame:
     grown = later.select(*key, "places", "places_before", "places_after", lead.alias("lead"), trail.alias("trail")).select(
         *key, F.when(F.col("lead") > 0, F.get("places_before", F.size("places_before") - F.col("lead"))).otherwise(F.get("places", F.lit(0))).alias("start"),
         (F.when(F.col("trail") > 0, F.get("places_after", F.col("trail") - 1)).otherwise(F.get("places", F.size("places") - 1)) + 1).alias("end"))
-    return grown.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone"))
+    gone = stored(grown.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("gone")))
+    for at in (met_at, firsts_at):
+        removed(spark, at)
+    released(spark)
+    return gone
 
 
 def _marked(docs: DataFrame, *more) -> DataFrame:
