@@ -62,16 +62,18 @@ def _numbered(texts: list[str], lang: str) -> tuple[np.ndarray, list[bytes], np.
 
 
 def _by_language(batch: pa.RecordBatch, part: int) -> Iterator[tuple[str, list[str]]]:
-    lang, text = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    sizes = np.cumsum([len(x) + 1 for x in text])
-    lo = 0
-    while lo < len(text):
-        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + part, side="right")))
-        by = defaultdict(list)
-        for x, y in zip(lang[lo:hi], text[lo:hi]):
-            by[x].append(y)
-        yield from by.items()
-        lo = hi
+    """The texts of a batch by language, each language in parts of its own: a part of several languages has
+    few texts of each, and what they share is then counted, and handed on, once per part."""
+    by = defaultdict(list)
+    for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        by[x].append(y)
+    for lang, text in by.items():
+        sizes = np.cumsum([len(x) + 1 for x in text])
+        lo = 0
+        while lo < len(text):
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + part, side="right")))
+            yield lang, text[lo:hi]
+            lo = hi
 
 
 def encoded(texts: DataFrame, shards: int, part: int = PART) -> DataFrame:
