@@ -84,7 +84,8 @@ def _equal_ends(own: Column, other: Column, back: bool) -> Column:
 def _removed(marked: DataFrame, window: int, lone: int) -> DataFrame:
     """id, text_key, gone: sorted spans of lines (start, end) of the chunks that an earlier document, or an
     earlier place of the same, has. marked: id, text_key, text. Stored; what its jobs wrote and shuffled, the
-    texts among it, is gone before the caller shuffles the texts once more."""
+    texts among it, is gone before the caller shuffles the texts once more. Joins with the texts sort and
+    merge at any size, so a small table is joined as a large one is and its disk foretells that of a large one."""
     key, spark = ["id", "text_key"], marked.sparkSession
     released(spark)
 
@@ -107,7 +108,7 @@ def _removed(marked: DataFrame, window: int, lone: int) -> DataFrame:
                                 digests(before).alias("before"), digests(after).alias("after"))
             return F.transform("open", of_one)
         return let(chunks(F.col("text"), window, lone), of_chunks)
-    met, met_at = stored_at(marked.select(*key, "text").join(open_, key).dropDuplicates(key).select(*key, F.explode(let(F.split("text", "\n"), opened)).alias("c")).select(*key, "c.*"))
+    met, met_at = stored_at(marked.select(*key, "text").join(open_.hint("merge"), key).dropDuplicates(key).select(*key, F.explode(let(F.split("text", "\n"), opened)).alias("c")).select(*key, "c.*"))
     for at in (seen_at, often_at):
         removed(spark, at)
     released(spark)
@@ -157,7 +158,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, lone: int = LONE) -> Dat
     text are one document and get the same result. An empty table gives no rows; extra columns
     are not read."""
     marked = _marked(docs, F.col("doc_id"), F.col("text").isNull().alias("absent"))
-    out = marked.join(_removed(marked, window, lone), ["id", "text_key"], "left")
+    out = marked.join(_removed(marked, window, lone).hint("merge"), ["id", "text_key"], "left")
     lines = F.split("text", "\n")
     n_gone = F.size(F.array_distinct(F.flatten(F.transform("gone", lambda g: F.sequence(g["start"], g["end"] - 1)))))
     return out.select(
@@ -170,7 +171,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, lone: int = LONE) -> Dat
 def without_repeats(docs: DataFrame, window: int = WINDOW, lone: int = LONE) -> DataFrame:
     """``docs`` with the texts that ``deduplicated`` leaves; n_chars follows the text. All columns are kept."""
     marked = _marked(docs, F.struct("*").alias("row"))
-    out = marked.join(_removed(marked.drop("row"), window, lone), ["id", "text_key"], "left")
+    out = marked.join(_removed(marked.drop("row"), window, lone).hint("merge"), ["id", "text_key"], "left")
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(let(F.split("text", "\n"), _left))
     out = out.select(F.col("row").withField("text", text).alias("row"))
     if "n_chars" in docs.columns:
