@@ -5,7 +5,9 @@ import random
 from conftest import rows
 from pyspark.sql import functions as F
 
+from weft.operators.network import communities
 from weft.plans.blocks import paired_within
+from weft.plans.components import star_roots
 from weft.plans.prefix import numbered, running_sums
 
 
@@ -29,3 +31,20 @@ def test_pairs_of_a_key_over_several_blocks(spark):
     got = rows(paired_within(spark.createDataFrame(items, "k string, i bigint"), "k", "i", block=7), "k", "a", "b")
     want = [("hot", a, b) for a in range(60) for b in range(a + 1, 60)] + [("cold", 1, 5), ("cold", 1, 9), ("cold", 5, 9)]
     assert got == sorted(want)
+
+
+def estimate(df):
+    """The planner's idea of a table's bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def test_rounds_start_from_tables_of_their_own_size(spark):
+    """A round that starts from the last one's estimate has an estimate of three times as many digits: a chain of merges ends the driver."""
+    names = spark.createDataFrame([(f"t{i}",) for i in range(7)], "theme_id string")
+    hub = spark.createDataFrame([x for i in range(1, 7) for x in [("t0", f"t{i}"), (f"t{i}", "t0")]], "src string, dst string")
+    groups = communities(names, hub)
+    assert estimate(groups) < 10 ** 6
+    assert dict(rows(groups)) == {f"t{i}": "t0" for i in range(7)}
+    roots = star_roots(spark.range(40).select((F.col("id") + 1).alias("a"), F.col("id").alias("b")))
+    assert estimate(roots) < 10 ** 6
+    assert rows(roots, "node", "root") == [(i, 0) for i in range(41)]
