@@ -9,6 +9,7 @@ from weft.functions.columns import log_factorial
 from weft.operators.argument import unit_themes
 from weft.operators.temporal import influence_degree
 from weft.plans.codebook import containing
+from weft.queries import learned
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -53,6 +54,19 @@ def test_mentions_leave_their_texts(spark, make):
         ("s1", 0, 0, "claim", "A"), ("s1", 0, 0, "claim", "B"), ("s2", 0, 0, "evidence", "A")]
 
 
+def test_equal_cliques_are_relabelled_once(spark, monkeypatch, tmp_path):
+    """Orders of one set of brands hand one graph to the relabelling, and each has its row."""
+    spark.createDataFrame([(k, f"Brand#{k}") for k in range(1, 5)], "p_partkey bigint, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(o, p) for o in range(30) for p in ((1, 2, 3, 3) if o % 3 else (4, 2))],
+                          "l_orderkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("SELECT id AS o_orderkey, DATE'2020-01-01' AS o_orderdate, '1' AS o_orderpriority FROM range(30)").write.parquet(f"{tmp_path}/orders.parquet")
+    seen, whole = [], learned.kernels.wl_histogram
+    monkeypatch.setattr(learned.kernels, "wl_histogram", lambda nodes, edges: seen.append((nodes.count(), edges.count())) or whole(nodes, edges))
+    got = sorted(tuple(r) for r in learned.wl_histogram(spark, str(tmp_path)).select("graph", "labels", "total").collect())
+    assert got == [(o, 4 * k, 4 * k) for o in range(30) for k in [3 if o % 3 else 2]]
+    assert seen == [(5, 8)]
+
+
 def test_influence_over_many_years_and_none(spark, make):
     """More years than are summed at once, and studies without a year, which are neither earlier nor later."""
     names = [f"s{i}" for i in range(60)]
