@@ -2,8 +2,10 @@
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +101,18 @@ def test_empty_table_and_long_text(spark):
     assert empty.collect() == [] and empty.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     rows = [("one two three four " * 100_000, "en"), ("x" * 1_000_000, "en")]
     assert rows_of(collocation.collocations(frame(spark, rows), least=100)) == expected(rows, 100, 2000)
+
+
+@pytest.mark.parametrize("most", [1 << 19, 3])
+def test_parts_of_a_task_are_summed_before_they_leave(spark, most):
+    """Every part of a task has the same phrases: they leave it once, unless it would hold too many."""
+    texts = spark.createDataFrame([("en", "one two three"), ("de", "one two")] * 20, "lang string, text string").coalesce(1)
+    every = spark.sparkContext.broadcast(zlib.compress(np.full(1 << 4, -1, np.int64).view(np.uint64).tobytes(), 1))
+    found = [tuple(r) for r in collocation._exact(texts, every, 3, part=20, most=most).collect()]
+    if most > 3:
+        assert len(found) == len({r[:3] for r in found})
+    total = Counter()
+    for lang, words, phrase, n in found:
+        total[lang, words, phrase] += n
+    assert total == {("en", 0, ""): 60, ("de", 0, ""): 40} | {(lang, k, " ".join(w)): 20 for lang, all_ in (("en", ["one", "two", "three"]), ("de", ["one", "two"]))
+                                                            for k in (1, 2, 3) for w in (all_[i:i + k] for i in range(len(all_) - k + 1))}

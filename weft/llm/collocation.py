@@ -25,6 +25,8 @@ SHARDS, FILTER_BITS = 4, 26
 SHIFTS = (0, 19, 38)
 #: Bytes of text, and words, that are counted at once (a longer text goes by itself).
 PART, PART_WORDS = 1 << 22, 1 << 20
+#: Counts that a task of the exact pass holds before it hands them on.
+HELD = 1 << 19
 END, NEXT = b"\xff", b"\xfe"
 #: Bytes of a text: A-Z in lower case, ends of pieces as END (no byte of UTF-8), a tab as a blank.
 _TO = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + END * 10 + b" ")
@@ -158,17 +160,33 @@ def _bits(hashes: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def _exact(texts: DataFrame, final, longest: int, part: int = PART) -> DataFrame:
-    """lang, words, phrase, n per part of a task: how often the words and phrases in the filter occur;
-    words = 0: all words of the language."""
+def _summed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The counts (lang, words, phrase, n) of several batches in one."""
+    found = pa.Table.from_batches(batches).group_by(["lang", "words", "phrase"], use_threads=False).aggregate([("n", "sum")])
+    return found.select(["lang", "words", "phrase", "n_sum"]).rename_columns(batches[0].schema.names).combine_chunks().to_batches()[0]
+
+
+def _exact(texts: DataFrame, final, longest: int, part: int = PART, most: int = HELD) -> DataFrame:
+    """lang, words, phrase, n per task: how often the words and phrases in the filter occur;
+    words = 0: all words of the language. A task sums the counts of its parts; of more than ``most`` it hands some on early."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = _unpacked(final.value)
+        held, size = [], 0
         for batch in batches:
             for lang, own_texts in _by_language(batch, part):
                 for k, phrases, n in _spelled(own_texts, lang, bits, longest):
-                    yield pa.RecordBatch.from_arrays(
+                    held.append(pa.RecordBatch.from_arrays(
                         [pa.array([lang]).take(pa.array(np.zeros(len(phrases), np.int32))), pa.array(np.full(len(phrases), k, np.int32)),
-                         pa.array(phrases, pa.string()), pa.array(n.astype(np.int64))], ["lang", "words", "phrase", "n"])
+                         pa.array(phrases, pa.string()), pa.array(n.astype(np.int64))], ["lang", "words", "phrase", "n"]))
+                    size += len(phrases)
+                if size > most:
+                    held = [_summed(held)]
+                    size = held[0].num_rows
+                    if 2 * size > most:
+                        yield from held
+                        held, size = [], 0
+        if size:
+            yield _summed(held)
     return texts.mapInArrow(run, "lang string, words int, phrase string, n bigint")
 
 
