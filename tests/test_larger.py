@@ -8,7 +8,7 @@ from check_oracle import TABLES, compare
 from weft.functions.columns import log_factorial
 from weft.operators.argument import unit_themes
 from weft.operators.temporal import influence_degree
-from weft.plans.codebook import containing
+from weft.plans.codebook import containing, shared_words
 from weft.queries import learned
 
 SMALL = "/root/testdata/sf0.001"
@@ -67,6 +67,15 @@ def test_equal_cliques_are_relabelled_once(spark, monkeypatch, tmp_path):
     assert seen == [(5, 8)]
 
 
+def test_words_of_texts_are_not_shuffled_to_meet_a_short_book(spark):
+    """A short book is sent to the texts, wherever its rows came from."""
+    said = spark.createDataFrame([("s1", ["alpha", "beta", "alpha"]), ("s2", ["gamma"])], "study_id string, words array<string>")
+    book = spark.createDataFrame([("A", "alpha"), ("B", "beta")], "theme_id string, word string")
+    met = shared_words(said, "words", book)
+    assert "SortMergeJoin" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in met.collect()) == [("s1", "A"), ("s1", "B")]
+
+
 def test_influence_over_many_years_and_none(spark, make):
     """More years than are summed at once, and studies without a year, which are neither earlier nor later."""
     names = [f"s{i}" for i in range(60)]
